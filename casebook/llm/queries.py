@@ -10,7 +10,8 @@ from casebook.llm.piece_codec import op2_sentencepiece
 from casebook.llm.quality import OP5_SQL, op5_quality_rules
 from casebook.llm.secrets import OP6_SQL, op6_secret_scans
 from casebook.llm.token_files import op3_token_files
+from casebook.llm.toxicity import op9_toxicity
 from casebook.llm.url_filters import OP8_SQL, op8_url_filters
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_sentencepiece, op3_token_files, op4_fingerprints, op5_quality_rules, op6_secret_scans, op7_chat_formatting, op8_url_filters, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_sentencepiece, op3_token_files, op4_fingerprints, op5_quality_rules, op6_secret_scans, op7_chat_formatting, op8_url_filters, op9_toxicity, op10_jaccard_join)}
 ORACLES = {"op5_quality_rules": OP5_SQL, "op6_secret_scans": OP6_SQL, "op7_chat_formatting": OP7_SQL, "op8_url_filters": OP8_SQL}
