@@ -121,6 +121,16 @@ def redact(text: Column, found: Column, mark: str = "[SECRET]") -> Column:
     return F.when(F.size(found) > 0, F.aggregate(found, zero, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))).otherwise(text)
 
 
+def redacted(docs: DataFrame) -> DataFrame:
+    """Rows of `docs` with the text redacted, and n_chars, if there, counted anew where the text has changed."""
+    marked = docs.withColumn("__text", redact(F.col("text"), spans(F.col("text"))))
+    new = {"text": F.col("__text")}
+    if "n_chars" in docs.columns:
+        length = F.length("__text").cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.when(F.col("__text") == F.col("text"), F.col("n_chars")).otherwise(length)
+    return marked.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+
+
 def spell(found: Column) -> Column:
     """kind:start:end of spans, comma-joined."""
     names = F.array(*map(F.lit, KINDS))
