@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from casebook.plans import relational  # noqa: F401
+from casebook.plans.base import ORACLES, QUERIES  # noqa: F401
