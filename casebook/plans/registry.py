@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from casebook.plans import domain, relational  # noqa: F401
+from casebook.plans import domain, relational, streamed  # noqa: F401
 from casebook.plans.base import ORACLES, QUERIES  # noqa: F401
