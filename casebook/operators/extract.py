@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 NAME = r"((?:[A-Z][\w&.'-]*)(?:\s+(?:of|and|for|the|[A-Z][\w&.'-]*)){0,5})"
 ORGANISATION = (
     rf"{NAME}\s+(?:confirms|confirmed|discloses|disclosed|reports|reported|suffers|suffered|says|said)\b",
-    rf"(?:attack|breach|intrusion|leak)\s+(?:on|at|of|against)\s+{NAME}",
-    rf"(?:hackers?|attackers?|gang)\s+(?:hit|hits|breached?|breach|target(?:s|ed)?|attack(?:s|ed)?)\s+{NAME}",
+    rf"(?i:attack|breach|intrusion|leak)\s+(?:on|at|of|against)\s+{NAME}",
+    rf"(?i:hackers?|attackers?|gang)\s+(?i:hit|hits|breached?|breach|target(?:s|ed)?|attack(?:s|ed)?)\s+{NAME}",
 )
 ACTOR = (rf"{NAME}\s+(?:ransomware|hacking|hacker)\s+(?:gang|group|operators?)", rf"(?:claimed|carried out|attributed)\s+(?:by|to)\s+{NAME}")
 #: Words that are no names.
