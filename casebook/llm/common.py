@@ -18,6 +18,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Id lists of at most so many rows (some 16 MB) are broadcast; longer ones are joined by shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def rows_with(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows of `df` whose key is in a written list of ids.  The list's size decides whether the rows must be shuffled."""
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, "left_semi")
+
+
+def release() -> None:
+    """Gives freed memory back to the system at a task's end: Python workers live on and would keep it."""
+    import ctypes
+
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
