@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casebook.functions.ids import article_uid, canonical_json, content_hash, entity_id, incident_id
+from casebook.functions.storage import materialize
 from casebook.functions.text import clean_html, country_of, domain_of, jaccard, normalize_text, tokenize
 from casebook.operators import cluster, flows, geo, graph, ledger, linkage, ordering, relevance, sync, trust, vectors
 from casebook.plans.base import load, query
@@ -26,9 +27,14 @@ def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return articles(spark, sf_dir).select("id", "site", tokenize(F.col("text")).alias("tokens"), tokenize(F.col("title")).alias("title_tokens"))
 
 
-def _relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _tokens(spark, sf_dir)
-    return linkage.related_pairs(rows, linkage.blocked_pairs(rows, "id", "tokens", 2, 12)).where("text_similarity >= 0.2")
+def _relations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(profiles, related): documents with equal tokens, headline and site as one, and all pairs of them with Jaccard index >= 1/5."""
+    found = materialize(linkage.profiles(_tokens(spark, sf_dir), "title_tokens", "site"), "profiles")
+    return found, materialize(linkage.related_profiles(found, 1, 5), "related")
+
+
+def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linkage.profile_keys(_tokens(spark, sf_dir), "title_tokens", "site")
 
 
 _PAIRS = rf"""arts AS (SELECT doc_id AS id, source AS site, {_TOK.format('text')} AS t, {_TOK.format(_TITLE)} AS h FROM documents),
@@ -43,8 +49,10 @@ greatest(0.0, least(1.0, 1.0 - text_s * 0.6 - title_s * 0.25 - CASE WHEN same TH
 
 @query(f"WITH {_PAIRS} SELECT relation, count(*) AS n, round(avg(text_s), 4) AS mean_text, round(avg(ind), 4) AS mean_independence FROM rels GROUP BY relation")
 def near_dup_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Relations between documents that share a rare token, by kind (A-09, J-13, F-08, D-02, D-03)."""
-    return _relations(spark, sf_dir).groupBy("relation").agg(F.count("*").alias("n"), F.round(F.avg("text_similarity"), 4).alias("mean_text"), F.round(F.avg("independence"), 4).alias("mean_independence"))
+    """Relations between all documents that share a fifth of their tokens, by kind (A-09, J-13, F-08, D-02, D-03)."""
+    _, related = _relations(spark, sf_dir)
+    mean = lambda c: F.round(F.sum(F.col(c) * F.col("pairs")) / F.sum("pairs"), 4)
+    return related.groupBy("relation").agg(F.sum("pairs").alias("n"), mean("text_similarity").alias("mean_text"), mean("independence").alias("mean_independence"))
 
 
 @query(f"""WITH {_PAIRS}, sides AS (SELECT a AS id, relation FROM rels UNION ALL SELECT b, relation FROM rels),
@@ -52,7 +60,9 @@ flags AS (SELECT id, bool_or(relation = 'LIKELY_INDEPENDENT') AS i, bool_or(rela
 SELECT arts.id, CASE WHEN i THEN 'INDEPENDENT_SUPPORT' WHEN r THEN 'REPRODUCED_OR_SYNDICATED' WHEN d THEN 'DUPLICATE_OR_REPEATED' ELSE 'SINGLE_SOURCE' END AS label FROM arts LEFT JOIN flags USING (id)""")
 def evidence_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence label of each document (A-28, D-04)."""
-    return linkage.evidence_labels(_relations(spark, sf_dir), articles(spark, sf_dir))
+    found, related = _relations(spark, sf_dir)
+    labels = linkage.evidence_labels(related.select("a", "b", "relation"), found.select(F.col("key").alias("id")))
+    return _members(spark, sf_dir).join(labels.withColumnRenamed("id", "key"), "key").select("id", "label")
 
 
 @query(rf"SELECT k AS token, count(*) AS df FROM (SELECT unnest({_TOK.format('text')}) AS k FROM documents) GROUP BY k")
@@ -64,7 +74,11 @@ def doc_token_df(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def seq_similarity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """difflib's ratio of near pairs, mixed with their token likeness (F-18, D-01)."""
-    pairs = _relations(spark, sf_dir).where("text_similarity >= 0.35").select("a", "b", "text_similarity")
+    _, related = _relations(spark, sf_dir)
+    near, own = related.where("text_similarity >= 0.35").select("a", "b", "text_similarity"), materialize(_members(spark, sf_dir), "members")
+    side = lambda x, k: own.select(F.col("id").alias(x), F.col("key").alias(k))
+    met = near.join(side("x", "a"), "a").join(side("y", "b"), "b").where((F.col("a") != F.col("b")) | (F.col("x") < F.col("y")))
+    pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "text_similarity")
     texts = articles(spark, sf_dir).select("id", normalize_text(F.col("text")).alias("t"))
     met = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("a_text")), "a").join(texts.select(F.col("id").alias("b"), F.col("t").alias("b_text")), "b")
     ratio = linkage.sequence_ratio()
@@ -161,14 +175,22 @@ reach AS (SELECT a AS id, a AS c FROM e UNION SELECT reach.id, e.b FROM reach JO
 @query(f"{_COMP} SELECT id AS node, min(c) AS component FROM reach GROUP BY id")
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Connected components of near pairs (C-11)."""
-    return graph.connected_components(_relations(spark, sf_dir).where("text_similarity >= 0.5").select("a", "b"))
-
-
-def _clustered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = articles(spark, sf_dir).select("id", "day", "site", tokenize(F.col("text")).alias("tokens"))
+    found, related = _relations(spark, sf_dir)
+    own = _members(spark, sf_dir).join(found.where(F.size("tokens") > 0).select("key", "head"), "key").select(F.col("id").alias("a"), F.col("head").alias("b"))
+    return graph.connected_components(related.where("text_similarity >= 0.5").select(F.col("x").alias("a"), F.col("y").alias("b")).union(own))
+
+
+def _clustered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Articles of which one stands for those of equal tokens and day, all their near pairs, and the pairs (one, other) of those it stands for."""
+    rows = articles(spark, sf_dir).select("id", "day", tokenize(F.col("text")).alias("tokens"))
+    found = materialize(linkage.profiles(rows, "day"), "profiles")
+    heads = found.select("key", "head")
+    own = linkage.profile_keys(rows, "day").join(found.where(F.size("tokens") > 0).select("key", "head"), "key").select(F.col("head").alias("a"), F.col("id").alias("b"))
+    near = linkage.alike_pairs(found.select("key", "tokens"), 7, 20).select("a", "b")
+    candidates = near.join(heads.select(F.col("key").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("key").alias("b"), F.col("head").alias("y")), "b")
     none = F.lit(None).cast("string")
     full = rows.select("id", "day", none.alias("target"), none.alias("actor"), "tokens", F.array().cast("array<string>").alias("kinds"), none.alias("location"), F.lit(None).cast("long").alias("attack_day"), none.alias("method"), F.array().cast("array<string>").alias("rare"))
-    return full, linkage.blocked_pairs(rows, "id", "tokens", 2, 12)
+    return full, materialize(candidates.select(F.col("x").alias("a"), F.col("y").alias("b")), "candidates"), own
 
 
 @query(rf"""WITH RECURSIVE {_PAIRS}, d AS (SELECT doc_id AS id, (doc_id * 37) % 200 AS day FROM documents),
@@ -177,8 +199,8 @@ reach AS (SELECT a AS id, a AS c FROM e UNION SELECT reach.id, e.b FROM reach JO
 SELECT coalesce(c, d.id) AS incident, d.id FROM d LEFT JOIN c USING (id)""")
 def incident_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles grouped to incidents by constraints, similarity and components (C-02 to C-08, J-14)."""
-    rows, candidates = _clustered(spark, sf_dir)
-    return cluster.incidents(rows, cluster.link_articles(rows, candidates))
+    rows, candidates, own = _clustered(spark, sf_dir)
+    return cluster.incidents(rows, cluster.link_articles(rows, candidates).select("a", "b").union(own))
 
 
 @query()
@@ -217,8 +239,8 @@ SELECT incident, round(score, 4) AS score, CASE WHEN score >= 0.72 THEN 'high' W
 def trust_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trust of each source's documents as one incident (V-01, V-02, F-37, F-38)."""
     per = load(spark, sf_dir, "documents").groupBy(F.col("source").alias("incident")).agg(F.count("*").alias("docs"), F.countDistinct("lang").alias("domains"), F.avg((F.col("n_chars") > 1500).cast("int")).alias("content"))
-    sites = articles(spark, sf_dir).select("id", "site")
-    inner = _relations(spark, sf_dir).where("same_site").join(sites.withColumnRenamed("id", "a"), "a").groupBy(F.col("site").alias("incident")).agg(F.avg("independence").alias("ind"))
+    found, related = _relations(spark, sf_dir)
+    inner = related.where("same_site").join(found.select(F.col("key").alias("a"), "site"), "a").groupBy(F.col("site").alias("incident")).agg((F.sum(F.col("independence") * F.col("pairs")) / F.sum("pairs")).alias("ind"))
     t = trust.trust(F.col("ind"), F.col("domains"), F.col("docs"), F.lit(0.5), F.col("content"), F.lit(1.0))
     return per.join(inner, "incident", "left").select("incident", t.alias("t")).select("incident", "t.score", "t.level")
 

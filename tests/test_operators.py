@@ -189,3 +189,34 @@ def test_conform_and_search_url(spark):
     url = tables.search_url(F.lit("data leak"), F.lit("xx"), F.lit("2024-01-01").cast("date"), F.lit("2024-01-01").cast("date"), {"en": ("en-US", "US", "US:en")}, "https://feed.example/search")
     assert spark.range(1).select(url).first()[0] == "https://feed.example/search?q=%22data+leak%22+after%3A2024-01-01+before%3A2024-01-02&hl=en-US&gl=US&ceid=US:en"
     assert [str(r["start"]) for r in tables.periods(spark, "2024-01-01", "2024-03-15").collect()] == ["2024-01-01", "2024-01-31"]
+
+
+def test_alike_pairs_are_all_pairs(spark):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(400)]
+    family = rng.sample(words, 40)
+    sets = [family + [f"own{i}"] for i in range(30)] + [rng.sample(words[: rng.choice([40, 400])], rng.randint(1, 30)) for _ in range(300)] + [["aaa", "bbb", "ccc", "ddd", "eee"], ["aaa"], []]
+    given = spark.createDataFrame(list(enumerate(sets)), "key long, t array<string>").select("key", F.transform("t", lambda t: F.xxhash64(t)).alias("tokens"))
+    want = set()
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(set(sets[i]) & set(sets[j]))
+            if both and 5 * both >= len(set(sets[i]) | set(sets[j])):
+                want.add((j, i, both, len(sets[j]), len(sets[i])))
+    for block in (40, 1000):
+        found = rows(linkage.alike_pairs(given, 1, 5, block))
+        assert len(found) == len(want) and set(found) == want
+
+
+def test_large_families_keep_their_pairs(spark, tmp_path):
+    from casebook.plans import domain
+
+    texts = [(i, "headline of a copied report\n" + " ".join(f"copied{k}" for k in range(40))) for i in range(1, 26)] + [(99, "alone entirely different matter")]
+    spark.createDataFrame([(i, t, "en", f"s{i % 2}", len(t)) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars int").write.parquet(str(tmp_path / "documents.parquet"))
+    assert [tuple(r)[:2] for r in domain.near_dup_relations(spark, str(tmp_path)).collect()] == [("LIKELY_DUPLICATE", 300)]
+    assert dict(rows(domain.evidence_labels(spark, str(tmp_path)))) == {i: "DUPLICATE_OR_REPEATED" if i < 99 else "SINGLE_SOURCE" for i, _ in texts}
+    assert dict(rows(domain.components(spark, str(tmp_path)))) == {i: 1 for i in range(1, 26)}
+    assert domain.seq_similarity_pairs(spark, str(tmp_path)).count() == 300
+    days = {i: i * 37 % 200 for i in range(1, 26)}
+    found = dict((i, c) for c, i in rows(domain.incident_clusters(spark, str(tmp_path))))
+    assert all(found[i] == found[j] for i in days for j in days if abs(days[i] - days[j]) <= 14) and found[99] == 99
