@@ -186,11 +186,23 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 5 == 0
 
 
+def known_labels(labels: DataFrame) -> DataFrame:
+    """doc_id, toxic (0 or 1) of all labelled documents that aren't held out; of repeated labels the greater counts."""
+    return labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out(F.col("doc_id")))
+
+
+def class_weights(labels: DataFrame) -> dict[int, float]:
+    """What a sampled document of each class counts for: labelled documents that aren't held out over those picked, so that the curve's threshold is that of
+    all labelled documents at any size."""
+    found = {r["toxic"]: r["count"] for r in known_labels(labels).groupBy("toxic").count().collect()}
+    return {c: max(1.0, found.get(c, 0) / SAMPLE[c]) for c in SAMPLE}
+
+
 def fitting_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, text, toxic of at most SAMPLE labelled documents of each class that aren't held out.
 
-    The list of ids has a fixed bound, so it is broadcast.  Of repeated labels the greater counts."""
-    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out(F.col("doc_id")))
+    The list of ids has a fixed bound, so it is broadcast."""
+    known = known_labels(labels)
     pick = lambda label: known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE[label])
     return docs.select("doc_id", "text").join(F.broadcast(pick(1).union(pick(0))), "doc_id")
 
@@ -248,18 +260,20 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
                     yield pa.RecordBatch.from_arrays([pa.array(most), pa.array(total), batch.column(1).slice(at, len(texts))], names=["most", "total", "toxic"])
 
         rows = sample.select("text", F.col("toxic").cast("long").alias("toxic")).mapInArrow(features, "most double, total double, toxic long").collect()  # SAMPLE rows at most
-        model.curve = _logistic(np.array([[1.0, r["most"], math.log1p(r["total"])] for r in rows]), np.array([r["toxic"] for r in rows], float))
+        own = class_weights(labels)
+        weights = np.array([own[r["toxic"]] for r in rows])
+        model.curve = _logistic(np.array([[1.0, r["most"], math.log1p(r["total"])] for r in rows]), np.array([r["toxic"] for r in rows], float), weights / weights.mean())
         return model
     finally:
         sample.unpersist()
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
-    """Logistic regression by Newton's method."""
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
+    """Logistic regression of weighted rows by Newton's method."""
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * w)
+        step = np.linalg.solve((x * (weight * (p * (1 - p) + 1e-9))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (weight * (y - p)) - ridge * w)
         w = w + step
         if abs(step).max() < 1e-8:
             break

@@ -242,6 +242,22 @@ def test_fit_learns_and_finds_spans(spark, edge, none):
     assert toxicity.fit(none, lab.limit(0)).lexicon == {}
 
 
+def test_threshold_does_not_depend_on_the_sample(spark, monkeypatch):
+    rng = random.Random(12)
+    docs, labels = [], []
+    for i in range(4000):
+        words, toxic = prose(rng, 30).split(), i % 50 == 0
+        if toxic or i % 50 == 1 or i % 100 == 2:  # of the texts with the word, two fifths are toxic
+            words.insert(rng.randrange(1, len(words)), "snarf")
+        docs.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    df, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    for sample in ({1: 6000, 0: 14000}, {1: 6000, 0: 600}):
+        monkeypatch.setattr(toxicity, "SAMPLE", sample)
+        model = toxicity.fit(df, lab)
+        assert "snarf" in model.lexicon and all(r["score"] < 0.5 for r in toxicity.score(df, model).collect())
+
+
 # -- Jaccard join -------------------------------------------------------------------------------------------------------------------
 
 
