@@ -26,6 +26,8 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 LIMITS = {"hex": 3.0, "alnum": 3.7, "base64": 3.9}
 #: Harmless: UUIDs, words joined by marks, alphabets in order, documented examples.
 ALLOW = r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$|^[+/_=-]*[A-Za-z]+([+/_=-]+[A-Za-z]+)*[+/_=-]*[0-9]{0,4}$|abcdefgh|ABCDEFGH|01234567|EXAMPLE|example"
+#: The forms that a whole candidate must have, and the words that excuse only the part between marks in which they stand.
+ALLOW_FORM, ALLOW_WORD = ALLOW.split("|abcdefgh")[0], "abcdefgh" + ALLOW.split("|abcdefgh")[1]
 
 _MILLION = 1_000_000
 C_LOG_C = [round(_MILLION * c * math.log2(c)) if c else 0 for c in range(WINDOW + 1)]
@@ -84,20 +86,42 @@ def _hot(candidate: Column) -> Column:
 
         return F.aggregate(F.sequence(F.lit(0), F.size(x["codes"]) - 1), zero, step, lambda a: F.struct(a["first"].alias("first"), a["last"].alias("last")))
 
-    worth = candidate.rlike("[0-9]") & candidate.rlike("[A-Za-z]") & ~candidate.rlike(ALLOW)
+    worth = candidate.rlike("[0-9]") & candidate.rlike("[A-Za-z]") & ~candidate.rlike(ALLOW_FORM)
     return F.when(worth, let(F.struct(codes.alias("codes"), limit.alias("limit")), scan))
 
 
+#: A part between marks that holds a harmless word.
+ALLOWED_PART = rf"([A-Za-z0-9]*(?:{ALLOW_WORD})[A-Za-z0-9]*)"
+
+
+def _outside(c: Column, cuts: Column) -> Column:
+    """The stretches (start, end) of c of WINDOW characters or more outside `cuts`, which are in order of start."""
+    inside = F.filter(cuts, lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"]))
+    kind = "array<struct<start:int,end:int>>"
+    zero = F.struct(c["start"].alias("at"), F.array().cast(kind).alias("out"))
+    stretch = lambda start, end: F.array(F.struct(start.alias("start"), end.alias("end")))
+
+    def step(a: Column, s: Column) -> Column:
+        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] - a["at"] >= WINDOW, F.concat(a["out"], stretch(a["at"], s["start"]))).otherwise(a["out"]).alias("out"))
+
+    return F.aggregate(inside, zero, step, lambda a: F.when(c["end"] - a["at"] >= WINDOW, F.concat(a["out"], stretch(a["at"], c["end"]))).otherwise(a["out"]))
+
+
 def spans(text: Column) -> Column:
     """All spans of a text, by start and then kind: array of (start, kind, end), kind an index of KINDS.
 
-    Offsets count code points, ends are exclusive; a null text counts as empty.  An entropy span that touches another is left out."""
+    Offsets count code points, ends are exclusive; a null text counts as empty.  Of a candidate, the stretches of WINDOW characters or more outside other spans
+    and outside parts between marks that hold a harmless word are scanned, each by itself."""
     text = F.coalesce(text.cast("string"), F.lit(""))
     tag = lambda places, kind: F.transform(places, lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), x["end"].alias("end")))
     base = F.concat(tag(_places(text, ASSIGN, ASSIGN_LEAST), "assign"), tag(_places(text, ACCESS), "access"), tag(_places(text, HEX), "hex"))
 
     def with_entropy(b: Column) -> Column:
-        free = F.filter(_places(text, CANDIDATE), lambda c: ~F.exists(b, lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"])))
+        # only candidates of a form that isn't allowed are cut
+        whole = F.filter(_places(text, CANDIDATE), lambda c: ~F.substring(text, c["start"] + 1, c["end"] - c["start"]).rlike(ALLOW_FORM))
+        known = F.transform(b, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+        words = F.transform(_places(text, ALLOWED_PART), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+        free = F.when(F.size(whole) > 0, let(F.array_sort(F.concat(known, words)), lambda cuts: F.flatten(F.transform(whole, lambda c: _outside(c, cuts))))).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
         scanned = F.transform(free, lambda c: F.struct(c["start"].alias("start"), _hot(F.substring(text, c["start"] + 1, c["end"] - c["start"])).alias("hot")))
         hot = F.filter(scanned, lambda c: c["hot"]["first"].isNotNull())
         return F.array_sort(F.concat(b, F.transform(hot, lambda c: F.struct((c["start"] + c["hot"]["first"]).alias("start"), F.lit(3).alias("kind"), (c["start"] + c["hot"]["last"]).alias("end")))))

@@ -141,6 +141,13 @@ def test_entropy_windows(spark):
             assert [(s["start"], s["end"]) for s in got] == ([(hot[0], hot[-1] + 20)] if hot else [])
 
 
+def test_entropy_beside_other_spans_and_words(spark):
+    key = "q9Zr4TtY7xKp2WvLm8NcB3sDf6GhJ1Qa5UeXo0Vi"
+    texts = ["AKIA" + "A1" * 8 + "/" + key, "a1" * 12 + "-" + key, "example-key=" + key, key + "_01234567", key, "example-9f8e7d6c5b4a-EXAMPLE", "a1" * 12]
+    found = [r["text"] for r in secrets.redacted(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert all(key[4:-4] not in t for t in found) and found[5] == texts[5] and found[4] == found[6] == "[SECRET]"
+
+
 def test_redaction(spark, edge, none):
     df = spark.createDataFrame([(1, "a password=hunter22 b " + "0a" * 12, 5), (2, None, 0), (3, "fine", 4)], "doc_id long, text string, n_chars int")
     found = {r["doc_id"]: r for r in secrets.redacted(df).collect()}
