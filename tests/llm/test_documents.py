@@ -312,6 +312,20 @@ def test_join_edge_rows(spark, edge, none, edge_rows):
     assert heads.columns == edge.columns and sorted(r["doc_id"] for r in heads.collect()) == [1, 2, 3, 4, 5, 6, 8, 9, 10, 11]
 
 
+def test_blocks_bound_a_family_of_copies(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    nodes = list(range(200)) + [900, 901, 902]
+    groups = spark.createDataFrame([(1, n, 0) for n in nodes], "gid long, node long, head long")
+    comps = spark.createDataFrame([(n, 0) for n in range(200)], "node long, component long")
+    sigs = spark.createDataFrame([(n, 5, b"") for n in nodes], "node long, n long, wide binary")
+    cells = {}
+    for r in jaccard_join.unlinked_members(groups, comps, sigs).collect():
+        cells.setdefault((r["i"], r["j"]), set()).add((r["block"], r["node"]))
+    assert max(map(len, cells.values())) <= 4 * 16 and sum(map(len, cells.values())) <= 2 * len(nodes)
+    met = {tuple(sorted((a, b))) for (i, j), held in cells.items() for x, a in held for y, b in held if a != b and (i == j or x != y)}
+    assert {(a, b) for a in nodes for b in (900, 901, 902) if a < b} <= met
+
+
 def test_tree_prunes_only_what_cannot_be_alike():
     rng = np.random.default_rng(9)
     base = [rng.integers(0, 1 << 63, 300).astype(np.uint64) for _ in range(20)]
