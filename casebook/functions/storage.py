@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,10 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share; a temporary one only where none is configured."""
+    """The folder that all machines share, as spark.checkpoint.dir names it.
+
+    Where it is unset, a local Spark gets a temporary folder; a cluster gets an error, as its machines would each write to a disk of their own."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     made = getattr(spark, "_casebook_shared_dir", None)
     if made is None:
         made = "file://" + tempfile.mkdtemp(prefix="casebook-")
@@ -29,4 +34,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._written = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what materialize() wrote for these tables, once nothing will read them again."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

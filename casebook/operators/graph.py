@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casebook.functions.storage import materialize
+from casebook.functions.storage import discard, materialize
 
 #: Rounds after which the input can't be a graph: each at least halves the longest path.
 MOST_ROUNDS = 60
@@ -28,7 +28,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lower, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = materialize(small.union(lower.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        before, now = now, materialize(small.union(lower.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        discard(before)
         digest = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if digest == seen:
             break
