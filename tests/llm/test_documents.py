@@ -313,7 +313,7 @@ def test_join_edge_rows(spark, edge, none, edge_rows):
 
 
 def test_blocks_bound_a_family_of_copies(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 16 * 5)
     nodes = list(range(200)) + [900, 901, 902]
     groups = spark.createDataFrame([(1, n, 0) for n in nodes], "gid long, node long, head long")
     comps = spark.createDataFrame([(n, 0) for n in range(200)], "node long, component long")
@@ -326,6 +326,22 @@ def test_blocks_bound_a_family_of_copies(spark, monkeypatch):
     assert {(a, b) for a in nodes for b in (900, 901, 902) if a < b} <= met
 
 
+def test_copies_that_do_not_fit_in_a_block(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 150)
+    rng = random.Random(3)
+    words = prose(rng, 60).split()
+    rows = [(i, " ".join(rng.choice("xyz") + w if rng.random() < 0.03 else w for w in words)) for i in range(60)]
+    found = jaccard_join.similarity_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(tuple(r) for r in found.collect()) == components(rows)
+
+
+def test_links_join_what_is_alike_once():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, 100).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[k : k + 60], rng.integers(0, 1 << 63, 2).astype(np.uint64)])) for k in (0, 2, 4, 40)]
+    assert len(jaccard_join.joined(sets, np.arange(4))) == 2 and len(jaccard_join.joined(sets, np.array([0, 0, 1, 2]))) == 1
+
+
 def test_tree_prunes_only_what_cannot_be_alike():
     rng = np.random.default_rng(9)
     base = [rng.integers(0, 1 << 63, 300).astype(np.uint64) for _ in range(20)]
