@@ -130,6 +130,14 @@ def test_secret_spans(spark):
     assert found[5] == [] and found[10] == []
 
 
+def test_two_keys_far_apart_are_two_spans(spark):
+    key, other = "q9Zr4TtY7xKp2WvLm8NcB3sD", "J1Qa5UeXo0ViH7gTb2NmR6yW"
+    text = f"{key}{'a' * 60}{other} {key}-deadbeef0123456789abcdef"
+    spans = secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["spans"]
+    keys = [text[s["start"] : s["end"]] for s in spans if s["kind"] == 3]
+    assert len(keys) == 3 and all(len(k) < 40 for k in keys) and key[2:-2] in keys[0] and other[2:-2] in keys[1] and key[2:-2] in keys[2]
+
+
 def test_entropy_windows(spark):
     rng = random.Random(5)
     for _ in range(6):
@@ -167,7 +175,7 @@ def test_chat_round_trip(spark):
             role = "system" if t == 0 and conv != 2 else rng.choice(["user", "assistant", "tool]x[", None])
             turns.append((conv, t, role, rng.choice(odd + [prose(rng, rng.randint(1, 60))])))
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
-    windows = chat.format_windows(df, stride=60, history=20)
+    windows = chat.format_windows(df, budget=160, history=20)
     for r in chat.read_back(windows).collect():
         own = [(role or "", text or "") for conv, _, role, text in turns if conv == r["conv_id"]]
         assert [tuple(t) for t in r["turns"]] == own
@@ -179,10 +187,38 @@ def test_chat_round_trip(spark):
 
 def test_windows_keep_the_system_turn(spark):
     turns = [(1, 0, "system", "rules")] + [(1, t, "user" if t % 2 else "assistant", f"turn {t} " + "w " * 20) for t in range(1, 30)]
-    found = chat.format_windows(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"), 100, 30).orderBy("window").collect()
+    found = chat.format_windows(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"), 240, 30).orderBy("window").collect()
     assert len(found) > 3 and all(r["formatted"].startswith("[SYS]rules[/SYS]") for r in found) and all(r["n_repeated"] >= 1 for r in found[1:])
 
 
+def test_windows_hold_their_budget(spark):
+    rng = random.Random(11)
+    turns, long = [], set()
+    for conv in range(30):
+        for t in range(rng.randint(1, 80)):
+            n = rng.choice([0, 1, 3, 10, 40, 90, 150, 400])
+            if t == 0 and conv % 2:
+                turns.append((conv, t, "system", "w " * min(n, 90)))
+                continue
+            turns.append((conv, t, rng.choice(["user", "assistant"]), f"{t} " + "w " * n))
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    found = chat.format_windows(df, 400, 50).withColumn("turns", chat.read_turns(F.col("formatted"))).collect()
+    sizes = {(c, t): len(text.split()) + chat.TURN_TOKENS for c, t, _, text in turns}
+    for r in found:
+        own = r["turns"][r["n_repeated"] :]
+        assert r["n_tokens"] <= 400 or len(own) == 1
+        again = [t for t in r["turns"][: r["n_repeated"]] if t["role"] != "system"]
+        assert sum(len(t["text"].split()) + chat.TURN_TOKENS for t in again) <= 50
+        first = next((int(t["text"].split()[0]) for t in own if t["role"] != "system"), None)
+        if first and r["conv_id"] % 2 == 0:  # all turns that start within the history are there
+            want, back = [], first - 1
+            while back >= 0 and sum(sizes[r["conv_id"], k] for k in range(back, first)) <= 50:
+                want.insert(0, back)
+                back -= 1
+            assert [int(t["text"].split()[0]) for t in again] == want
+    assert max(r["n_tokens"] for r in found) > 300
+
+
 # -- URL lists ----------------------------------------------------------------------------------------------------------------
 
 
