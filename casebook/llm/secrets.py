@@ -3,7 +3,7 @@
 Forms are found by patterns; the places between matches give their offsets.  Candidate strings go through a sliding
 window of WINDOW characters: each step takes one character out of the counts and one in, and keeps the sum of
 c log2 c from which the entropy follows (in millionths, as integers, so that every engine agrees).
-A window above its class's limit marks the string, unless an allow-list pattern knows it as harmless.
+Windows above their class's limit mark the stretch they cover, unless an allow-list pattern knows it as harmless.
 """
 
 from __future__ import annotations
@@ -60,16 +60,18 @@ def _places(text: Column, pattern: str, least: int | None = None) -> Column:
 
 
 def _hot(candidate: Column) -> Column:
-    """(first, last): from where to where windows above the limit reach in a candidate, by incremental counts; null if none."""
+    """Runs (start, end) of a candidate that windows above the limit cover, by incremental counts; windows that overlap or touch make one run; null if it isn't scanned."""
     table_ = F.array(*[F.lit(x).cast("long") for x in C_LOG_C])
     limit = (
         F.when(candidate.rlike("^[0-9a-fA-F]+$"), limit_of("hex")).when(candidate.rlike("^[A-Za-z0-9]+$"), limit_of("alnum")).otherwise(limit_of("base64"))
     )
     codes = F.transform(F.split(candidate, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
     add = lambda counts, code, by: F.transform(counts, lambda c, i: F.when(i == code, c + by).otherwise(c))
+    run = lambda start, end: F.array(F.struct(start.alias("start"), end.alias("end")))
 
     def scan(x: Column) -> Column:
-        zero = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"), F.lit(0).cast("long").alias("sum"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
+        none = F.lit(None).cast("int")
+        zero = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"), F.lit(0).cast("long").alias("sum"), none.alias("first"), none.alias("last"), F.array().cast("array<struct<start:int,end:int>>").alias("runs"))
 
         def step(a: Column, i: Column) -> Column:
             gone, new = F.get(x["codes"], i - WINDOW), F.get(x["codes"], i)
@@ -79,12 +81,14 @@ def _hot(candidate: Column) -> Column:
             def enter(b: Column) -> Column:
                 total = b["sum"] - F.get(table_, F.get(b["counts"], new)) + F.get(table_, F.get(b["counts"], new) + 1)
                 hot = (i >= WINDOW - 1) & (total <= x["limit"])
-                return F.struct(add(b["counts"], new, 1).alias("counts"), total.alias("sum"),
-                                F.when(a["first"].isNull() & hot, i - WINDOW + 1).otherwise(a["first"]).alias("first"), F.when(hot, i + 1).otherwise(a["last"]).alias("last"))
+                start = i - WINDOW + 1
+                fresh = hot & (a["last"].isNull() | (start > a["last"]))
+                return F.struct(add(b["counts"], new, 1).alias("counts"), total.alias("sum"), F.when(fresh, start).otherwise(a["first"]).alias("first"), F.when(hot, i + 1).otherwise(a["last"]).alias("last"),
+                                F.when(fresh & a["last"].isNotNull(), F.concat(a["runs"], run(a["first"], a["last"]))).otherwise(a["runs"]).alias("runs"))
 
             return let(without, enter)
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(x["codes"]) - 1), zero, step, lambda a: F.struct(a["first"].alias("first"), a["last"].alias("last")))
+        return F.aggregate(F.sequence(F.lit(0), F.size(x["codes"]) - 1), zero, step, lambda a: F.when(a["last"].isNotNull(), F.concat(a["runs"], run(a["first"], a["last"]))).otherwise(a["runs"]))
 
     worth = candidate.rlike("[0-9]") & candidate.rlike("[A-Za-z]") & ~candidate.rlike(ALLOW_FORM)
     return F.when(worth, let(F.struct(codes.alias("codes"), limit.alias("limit")), scan))
@@ -122,9 +126,8 @@ def spans(text: Column) -> Column:
         known = F.transform(b, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
         words = F.transform(_places(text, ALLOWED_PART), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
         free = F.when(F.size(whole) > 0, let(F.array_sort(F.concat(known, words)), lambda cuts: F.flatten(F.transform(whole, lambda c: _outside(c, cuts))))).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
-        scanned = F.transform(free, lambda c: F.struct(c["start"].alias("start"), _hot(F.substring(text, c["start"] + 1, c["end"] - c["start"])).alias("hot")))
-        hot = F.filter(scanned, lambda c: c["hot"]["first"].isNotNull())
-        return F.array_sort(F.concat(b, F.transform(hot, lambda c: F.struct((c["start"] + c["hot"]["first"]).alias("start"), F.lit(3).alias("kind"), (c["start"] + c["hot"]["last"]).alias("end")))))
+        hot = lambda c: F.transform(F.coalesce(_hot(F.substring(text, c["start"] + 1, c["end"] - c["start"])), F.array().cast("array<struct<start:int,end:int>>")), lambda h: F.struct((c["start"] + h["start"]).alias("start"), F.lit(3).alias("kind"), (c["start"] + h["end"]).alias("end")))
+        return F.array_sort(F.concat(b, F.flatten(F.transform(free, hot))))
 
     return let(base, with_entropy)
 
@@ -146,13 +149,14 @@ def redact(text: Column, found: Column, mark: str = "[SECRET]") -> Column:
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """Rows of `docs` with the text redacted, and n_chars, if there, counted anew where the text has changed."""
-    marked = docs.withColumn("__text", redact(F.col("text"), spans(F.col("text"))))
-    new = {"text": F.col("__text")}
+    """Rows of `docs` with the text redacted, and n_chars, if there, counted anew where the text has changed.
+
+    One row for each row, other columns as they are, whatever they are called; a null text stays null, an empty table stays empty.  Equal texts are redacted alike."""
+    made = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), redact(F.col("text"), spans(F.col("text"))).alias("clean"))
+    new = {"text": F.col("clean")}
     if "n_chars" in docs.columns:
-        length = F.length("__text").cast(docs.schema["n_chars"].dataType)
-        new["n_chars"] = F.when(F.col("__text") == F.col("text"), F.col("n_chars")).otherwise(length)
-    return marked.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+        new["n_chars"] = F.when(F.col("clean") == F.col("row.text"), F.col("row.n_chars")).otherwise(F.length("clean").cast(docs.schema["n_chars"].dataType))
+    return made.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def spell(found: Column) -> Column:
@@ -162,6 +166,10 @@ def spell(found: Column) -> Column:
 
 
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents: one row for each row, so repeated rows give repeated rows.
+
+    A null or empty text has no spans and the digest of an empty string; a text of any length is scanned whole; a null doc_id stays null; other columns don't
+    matter; of spans that start together the kinds' order decides.  An empty table gives an empty table."""
     found = scan(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == KINDS.index(kind))).cast("long")
     base = F.filter("spans", lambda s: s["kind"] < 3)
@@ -186,14 +194,21 @@ def secrets_sql(source: str = "documents") -> str:
     table_ = "[" + ", ".join(map(str, C_LOG_C[1:])) + "]"
     return f"""
 s_docs AS (SELECT doc_id, coalesce(text, '') AS text FROM {source}),{places("s_assign", 0, ASSIGN, assign_free, f"length(v[i]) >= {ASSIGN_LEAST}")},{places("s_access", 1, ACCESS, ACCESS, "true")},{places("s_hex", 2, HEX, HEX, "true")},
-s_base AS (SELECT doc_id, kind, start, start + length(s) AS end_ FROM (FROM s_assign UNION ALL FROM s_access UNION ALL FROM s_hex)),{places("s_cand", 3, CANDIDATE, CANDIDATE, "true")},
-s_free AS (SELECT * FROM s_cand c WHERE regexp_matches(s, '[0-9]') AND regexp_matches(s, '[A-Za-z]') AND NOT regexp_matches(s, '{quote(ALLOW)}')
-    AND NOT EXISTS (SELECT 1 FROM s_base b WHERE b.doc_id = c.doc_id AND b.start < c.start + length(c.s) AND c.start < b.end_)),
+s_base AS (SELECT doc_id, kind, start, start + length(s) AS end_ FROM (FROM s_assign UNION ALL FROM s_access UNION ALL FROM s_hex)),{places("s_cand", 3, CANDIDATE, CANDIDATE, "true")},{places("s_word", 3, ALLOWED_PART, ALLOWED_PART, "true")},
+s_open AS (SELECT doc_id, start, start + length(s) AS end_ FROM s_cand WHERE NOT regexp_matches(s, '{quote(ALLOW_FORM)}')),
+s_cuts AS (SELECT doc_id, start, end_ FROM s_base UNION ALL SELECT doc_id, start, start + length(s) FROM s_word),
+s_edges AS (SELECT c.doc_id, c.start AS begin_, k.start, k.end_ FROM s_open c JOIN s_cuts k ON k.doc_id = c.doc_id AND k.start < c.end_ AND c.start < k.end_
+    UNION ALL SELECT doc_id, start, end_, end_ FROM s_open),
+s_gaps AS (SELECT doc_id, start AS stop_, greatest(begin_, coalesce(max(end_) OVER (PARTITION BY doc_id, begin_ ORDER BY start, end_ ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS start FROM s_edges),
+s_free AS (SELECT * FROM (SELECT doc_id, g.start, substring(text, g.start::BIGINT + 1, (stop_ - g.start)::BIGINT) AS s FROM (SELECT DISTINCT * FROM s_gaps WHERE stop_ - start >= {WINDOW}) g JOIN s_docs USING (doc_id))
+    WHERE regexp_matches(s, '[0-9]') AND regexp_matches(s, '[A-Za-z]') AND NOT regexp_matches(s, '{quote(ALLOW_FORM)}')),
 s_windows AS (SELECT doc_id, start, w, CASE WHEN regexp_matches(s, '^[0-9a-fA-F]+$') THEN {limit_of("hex")} WHEN regexp_matches(s, '^[A-Za-z0-9]+$') THEN {limit_of("alnum")} ELSE {limit_of("base64")} END AS most,
     string_split(substring(s, w + 1, {WINDOW}), '') AS c FROM (SELECT *, unnest(range(0, length(s) - {WINDOW - 1})) AS w FROM s_free)),
 s_hot AS (SELECT doc_id, start, w FROM s_windows
     WHERE list_sum(list_transform(list_distinct(c), lambda x: {table_}[len(list_filter(c, lambda y: y = x))])) <= most),
-s_all AS (FROM s_base UNION ALL SELECT doc_id, 3 AS kind, start + min(w) AS start, start + max(w) + {WINDOW} AS end_ FROM s_hot GROUP BY doc_id, start)"""
+s_runs AS (SELECT doc_id, start, w, sum(fresh) OVER (PARTITION BY doc_id, start ORDER BY w) AS run
+    FROM (SELECT *, (w - coalesce(lag(w) OVER (PARTITION BY doc_id, start ORDER BY w), -1000) > {WINDOW})::INT AS fresh FROM s_hot)),
+s_all AS (FROM s_base UNION ALL SELECT doc_id, 3 AS kind, start + min(w) AS start, start + max(w) + {WINDOW} AS end_ FROM s_runs GROUP BY doc_id, start, run)"""
 
 
 _NAMES = "['" + "', '".join(KINDS) + "']"
