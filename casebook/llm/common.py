@@ -40,6 +40,27 @@ def release() -> None:
         pass
 
 
+def free_names(columns: list[str], *names: str) -> list[str]:
+    """Names like the given ones that no column has, whatever its case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
+#: Bytes of text that a range of a key should hold, and that a task should.
+RANGE_BYTES, TASK_BYTES = 32_000_000, 128_000_000
+
+
+def text_ranges(docs: DataFrame, text: str = "text") -> tuple[int, int]:
+    """(ranges, tasks) for shuffling whole texts in order of a key: they grow with the bytes of the texts, counted in one scan."""
+    least = shuffle_partitions(docs.sparkSession)
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return max(4 * least, size // RANGE_BYTES), max(1, size // TASK_BYTES)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

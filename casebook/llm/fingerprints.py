@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casebook.llm.common import bucket_of, range_buckets, shuffle_partitions, table
+from casebook.llm.common import bucket_of, range_buckets, table, text_ranges
 from casebook.llm.vocab import slices
 
 K, WORDS = 128, 5
@@ -175,7 +175,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     Rows of one doc_id stay in one bucket, ordered by their text's hash."""
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    cuts = range_buckets(own, "doc_id", 4 * shuffle_partitions(spark))
+    ranges, tasks = text_ranges(own)
+    cuts = range_buckets(own, "doc_id", ranges)
     rows = own.withColumn("bucket", bucket_of(F.col("doc_id"), cuts))
     firsts = own.select(bucket_of(F.col("doc_id"), cuts).alias("bucket"), F.coalesce("doc_id", F.lit(-(1 << 62))).alias("doc_id")).groupBy("bucket").agg(F.min("doc_id").alias("first"))
     found = sorted((r["bucket"], r["first"]) for r in firsts.collect())  # one row a bucket
@@ -185,7 +186,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     hosts = spark.createDataFrame(list(before.items()), "first long, host int")
     key = F.coalesce("doc_id", F.lit(-(1 << 62)))
     guests = rows.join(F.broadcast(hosts), key == hosts["first"]).select(F.col("host").alias("bucket"), F.lit(True).alias("guest"), "doc_id", "text")
-    parts = -(-len(found) // 4)
+    parts = max(-(-len(found) // 4), tasks)
     return (
         rows.select("bucket", F.lit(False).alias("guest"), "doc_id", "text").union(guests)
         .repartition(parts, "bucket").sortWithinPartitions("bucket", "guest", "doc_id", F.xxhash64("text"))
@@ -195,8 +196,12 @@ def with_next(docs: DataFrame) -> DataFrame:
 def compare_with_next(docs: DataFrame, k: int = K) -> DataFrame:
     """Fingerprints of each document and of its edited text, with their likeness and that to the next document's.
 
-    Edited: the last quarter of the characters gives way to the first as many of the next document."""
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    Edited: the last quarter of the characters gives way to the first as many of the next document.  Beside them, all from the sketches: how many distinct shingles
+    the text has, how many it has together with the next document (their merged sketch), and which share of its shingles the edited text holds.
+
+    One row for each row; rows that share a doc_id follow each other in the order of their texts' hashes.  A null text counts as empty and has the empty sketch; two
+    empty texts are alike; a null doc_id comes first.  A single document is its own next one.  An empty table gives an empty table."""
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_distinct", "n_distinct_with_next", "kept_by_edit"]
 
     def run(batches):
         held: tuple | None = None  # the last document, waiting for its next
@@ -213,7 +218,9 @@ def compare_with_next(docs: DataFrame, k: int = K) -> DataFrame:
             columns = [
                 pa.array([r[2] for r in rows], pa.int64()), pa.array([len(r[0]) for r in rows], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in raw], pa.string()),
                 pa.array(list(map(to_text, own)), pa.string()), pa.array(list(map(to_text, new)), pa.string()),
-                pa.array([resemblance(a, b, k) for a, b in zip(own, new)], pa.float64()), pa.array([resemblance(a, b, k) for a, b in zip(own, after)], pa.float64())]
+                pa.array([resemblance(a, b, k) for a, b in zip(own, new)], pa.float64()), pa.array([resemblance(a, b, k) for a, b in zip(own, after)], pa.float64()),
+                pa.array([distinct_shingles(a, k) for a in own], pa.float64()), pa.array([distinct_shingles(merge(a, b, k), k) for a, b in zip(own, after)], pa.float64()),
+                pa.array([containment(a, b, k) for a, b in zip(own, new)], pa.float64())]
             return pa.RecordBatch.from_arrays(columns, names=names)
 
         rows, size = [], 0
@@ -231,8 +238,9 @@ def compare_with_next(docs: DataFrame, k: int = K) -> DataFrame:
         if rows:
             yield emit(rows)
 
-    return with_next(docs).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return with_next(docs).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_distinct double, n_distinct_with_next double, kept_by_edit double")
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' fingerprints, as compare_with_next() defines them for nulls, empty and very long texts, repeated rows and empty tables."""
     return compare_with_next(table(spark, sf_dir, "documents"))

@@ -22,7 +22,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from casebook.llm.common import bucket_of, fresh_path, materialize, range_buckets, shuffle_partitions, table
+from casebook.llm.common import bucket_of, fresh_path, materialize, range_buckets, table, text_ranges
 from casebook.llm.vocab import slices, word_encoder
 
 MAGIC, HEAD = b"PFR1", struct.Struct("<4sIIII")
@@ -139,10 +139,10 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, path: str)
 
     A null text counts as empty; each document ends with end_id.  Rows with a null doc_id come first, as
     doc_id -1 < 0 would; rows with the same doc_id stay side by side.  A retried task writes the same file again."""
-    spark = docs.sparkSession
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), F.col("text").cast("string"))
-    cuts = range_buckets(own, "doc_id", 4 * shuffle_partitions(spark))
-    parts = -(-(len(cuts) + 1) // 4)
+    ranges, tasks = text_ranges(own)
+    cuts = range_buckets(own, "doc_id", ranges)
+    parts = max(-(-(len(cuts) + 1) // 4), tasks)
     ordered = own.withColumn("file", bucket_of(F.col("doc_id"), cuts).cast("long")).repartition(parts, "file").sortWithinPartitions("file", "doc_id", F.xxhash64("text"))
 
     def store(batches):
@@ -211,6 +211,10 @@ def read_token_files(manifest: DataFrame, path: str, with_ids: bool = False) ->
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written to token files and read back: one row for each row.
+
+    A null or empty text has the end id alone; a text of any length lies in one file; rows that share a doc_id lie side by side in the order of their texts' hashes;
+    a null doc_id comes first and reads back as -1; other columns don't matter.  An empty table gives an empty table."""
     import public_tokenizers as vocabularies
 
     path = fresh_path(spark, "tokens")
