@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from casebook.llm.common import materialize, shuffle_partitions, table
+from casebook.llm.common import free_names, materialize, shuffle_partitions, table
 from casebook.llm.vocab import byte_encoder, slices
 
 CAPACITY = 2048
@@ -128,35 +128,35 @@ def best_fit(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to rows with a `length` of 1..capacity, as best-fit decreasing packs them.
 
     Rows with a null length or one outside that range are refused by an error.  Repeated rows are
-    packed one by one.  An empty table gives an empty table.  `pieces` is read three times: it should be
+    packed one by one.  Other columns keep their names; a sequence_id or offset that was there is replaced.  An empty table gives an empty table.  `pieces` is read three times: it should be
     cheap to read, as a written table is."""
     spark = pieces.sparkSession
+    names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
     shards = max(64, 4 * shuffle_partitions(spark))
     keys = [c for c in ("doc_id", "piece") if c in pieces.columns] or ["length"]
-    sized = pieces.withColumn("shard", F.pmod(F.xxhash64(*keys), F.lit(shards)).cast("int"))
-    each = sized.groupBy("length", "shard").agg(F.count("*").alias("n"))
-    before = each.select("length", "shard", (F.sum("n").over(Window.partitionBy("length").orderBy("shard")) - F.col("n")).alias("before"))
-    histogram = {row["length"]: row["n"] for row in each.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # `capacity` rows at most
+    shard, rank, before, n = free_names(pieces.columns, "shard", "rank", "before", "n")
+    sized = pieces.withColumn(shard, F.pmod(F.xxhash64(*keys), F.lit(shards)).cast("int"))
+    each = sized.groupBy("length", shard).agg(F.count("*").alias(n))
+    bases = each.select("length", shard, (F.sum(n).over(Window.partitionBy("length").orderBy(shard)) - F.col(n)).alias(before))
+    histogram = {row[0]: row[1] for row in each.groupBy("length").agg(F.sum(n)).collect()}  # `capacity` rows at most
     if any(x is None or not 1 <= x <= capacity for x in histogram):
         raise ValueError(f"lengths must be from 1 to {capacity}")
     plan = plan_bins(histogram, capacity)
     keyed = (plan["length"] << 44) | plan["rank"]
     ranked = (
-        sized.withColumn("rank", F.row_number().over(Window.partitionBy("length", "shard").orderBy(*keys)) - 1)
-        .join(before, ["length", "shard"])
-        .select(*pieces.columns, (F.col("rank") + F.col("before")).cast("long").alias("rank"))
+        sized.withColumn(rank, F.row_number().over(Window.partitionBy("length", shard).orderBy(*keys)) - 1)
+        .join(bases, ["length", shard])
+        .select(*[F.col(f"`{c}`") for c in names], (F.col(rank) + F.col(before)).cast("long").alias(rank))
     )
 
-    names = pieces.columns
-
     def place(batches):
         for batch in batches:
-            rank = np.asarray(batch.column("rank"))
-            at = np.searchsorted(keyed, (np.asarray(batch.column("length")).astype(np.int64) << 44) | rank, "right") - 1
+            own = np.asarray(batch.column(rank))
+            at = np.searchsorted(keyed, (np.asarray(batch.column("length")).astype(np.int64) << 44) | own, "right") - 1
             kept = [batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(plan["bin"][at] + rank - plan["rank"][at]), pa.array(plan["offset"][at])], names=[*names, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(plan["bin"][at] + own - plan["rank"][at]), pa.array(plan["offset"][at])], names=[*names, "sequence_id", "offset"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema if f.name in names)
     return ranked.mapInArrow(place, f"{schema}, sequence_id long, offset long")
 
 
@@ -180,4 +180,8 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' pieces, packed: one row a piece.
+
+    A null or empty text is a piece of the end id alone; a text of any length is cut into pieces and none is lost; repeated rows are packed one by one; a null
+    doc_id stays null; other columns don't matter.  Among equal lengths the order is by hash and doc_id.  An empty table gives an empty table."""
     return pack_documents(table(spark, sf_dir, "documents"))
