@@ -19,6 +19,8 @@ FEWEST_WORDS, MOST_REPEATED, MOST_SYMBOLS, MOST_DUP_LINES, WORD_LENGTH = 50, 50,
 BAD_HOST, SOFT_LIMIT = 0.5, 2
 #: Host tables of at most so many rows are broadcast; larger ones are joined by shuffle.
 BROADCAST_HOSTS = 100_000
+#: Words up to which positions are packed under window hashes.
+PACKED = 1 << 20
 #: Weight of the prior in documents, least and most.
 PRIOR = (1.0, 1_000_000.0)
 
@@ -27,7 +29,8 @@ def repeated_words(words: Column) -> Column:
     """How many words lie in a window of three words that the array holds more than once.
 
     Windows are hashed; for the few arrays in which hashes repeat, positions are packed under the hashes and sorted, so that equal windows
-    are neighbours."""
+    are neighbours.  The position takes as many bits of the hash as the array's size has: up to a million words the rest tells windows apart; in far longer
+    arrays the positions stand beside whole hashes."""
     call = F.call_function
 
     def covered(hashes: Column) -> Column:
@@ -39,9 +42,15 @@ def repeated_words(words: Column) -> Column:
             same = F.filter(s, lambda v, i: (high(v) == high(F.get(s, i - 1))) | (high(v) == high(F.get(s, i + 1))))
             return F.sort_array(F.transform(same, lambda v: v - call("shiftleft", high(v), bits)))
 
+        def beside(s: Column) -> Column:
+            same = F.filter(s, lambda v, i: (v["h"] == F.get(s, i - 1)["h"]) | (v["h"] == F.get(s, i + 1)["h"]))
+            return F.sort_array(F.transform(same, lambda v: v["i"]))
+
+        pairs = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.cast("long").alias("i"))))
+        found = F.when(F.size(hashes) <= PACKED, let(packed, places)).otherwise(let(pairs, beside))
         zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end"))
         step = lambda a, p: F.struct((a["n"] + p + 3 - F.greatest(p, a["end"])).alias("n"), (p + 3).alias("end"))
-        return F.aggregate(let(packed, places), zero, step, lambda a: a["n"])
+        return F.aggregate(found, zero, step, lambda a: a["n"])
 
     windows = F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
     found = let(windows, lambda t: F.when(F.size(F.array_distinct(t)) == F.size(t), F.lit(0).cast("long")).otherwise(covered(t)))
@@ -96,7 +105,7 @@ def _with_rates(rows: DataFrame, rates: DataFrame, hosts: int) -> DataFrame:
 def verdicts(docs: DataFrame, host: str = "source") -> DataFrame:
     """doc_id, the counts, base_failed, host_rate and kept, one row for each row of `docs`.
 
-    A null host is a host of its own; an empty table gives an empty table; repeated rows are judged alike."""
+    A null host counts as the empty one; an empty table gives an empty table; repeated rows are judged alike."""
     base, soft = failures(F.col("c"))
     counted = docs.select(F.col("doc_id"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), text_counts(F.col("text")).alias("c"))
     counted = materialize(counted.select("doc_id", "host", "c.*", base.alias("base_failed"), soft.alias("soft")), "counts")
@@ -108,19 +117,24 @@ def verdicts(docs: DataFrame, host: str = "source") -> DataFrame:
 
 
 def keep_good(docs: DataFrame, host: str = "source") -> DataFrame:
-    """Rows of `docs` that verdicts() keeps, with their own columns, whatever else those are called."""
-    base, soft = failures(F.col("__c"))
-    hosted = docs.withColumns({"__c": text_counts(F.col("text")), "host__": F.coalesce(F.col(host).cast("string"), F.lit(""))})
-    judged = hosted.withColumns({"__base": base, "__soft": soft})
-    # what the verdicts need is written without the texts; texts are counted again where they are kept
-    failed = judged.select(F.col("host__").alias("host"), (F.col("__base") | (F.col("__soft") > 0)).cast("int").alias("failed"))
-    rates, k = host_rates(failed)
-    rates = rates.select(F.col("host").alias("host__"), F.col("rate").alias("__rate"))
-    joined = judged.join(F.broadcast(rates) if k <= BROADCAST_HOSTS else rates, "host__", "left")
-    return joined.where(_kept(F.col("__base"), F.col("__soft"), F.col("__rate"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Rows of `docs` that verdicts() keeps, with their own columns, whatever else those are called.
+
+    Rows that may be kept are written once beside their host and failures, so that no text is counted twice.  A null or empty text has no words and goes; a null host
+    counts as the empty one; repeated rows stay or go together; an empty table stays empty."""
+    base, soft = failures(F.col("counts"))
+    counted = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(f"`{host}`").cast("string"), F.lit("")).alias("host"), text_counts(F.col("text")).alias("counts"))
+    judged = counted.select("row", "host", base.alias("base"), soft.alias("soft"))
+    written = materialize(judged.select(F.when(~F.col("base") & (F.col("soft") < SOFT_LIMIT), F.col("row")).alias("row"), "host", "base", "soft"), "judged")
+    rates, k = host_rates(written.select("host", (F.col("base") | (F.col("soft") > 0)).cast("int").alias("failed")))
+    kept = _with_rates(written.where("row IS NOT NULL"), rates, k).where(_kept(F.col("base"), F.col("soft"), F.col("rate")))
+    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdicts of all documents: one row for each row, so repeated rows give repeated rows.
+
+    A null or empty text has no words and fails; a text of any length is counted whole; a null source counts as the empty one; other columns don't matter.
+    An empty table gives an empty table."""
     found = verdicts(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
