@@ -252,6 +252,10 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded and decoded: one row for each row, so repeated rows give repeated rows.
+
+    A null or empty text has no ids; a text of any length is encoded whole; a null doc_id stays null; other columns don't matter.  An empty table gives an empty
+    table."""
     import public_tokenizers as vocabularies
 
     return digests(table(spark, sf_dir, "documents"), vocabularies.path("piece_bpe_32k.model"))

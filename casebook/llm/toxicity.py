@@ -298,7 +298,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
-    """Rows of `docs` that score below the limit, with all their columns."""
+    """Rows of `docs` that score below the limit, with all their columns, whatever else those are called.
+
+    A null or empty text has the lowest score and stays; repeated rows stay or go together; an empty table stays empty."""
     at = docs.columns.index("text")
 
     def run(batches):
@@ -312,6 +314,10 @@ def keep_clean(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents: one row for each row, so repeated rows score alike.
+
+    A null or empty text has the lowest score; a text of any length is scored whole; a null doc_id counts as not held out and is never fitted on; labels other than
+    0 and 1 are ignored, and of repeated ones the greater counts; other columns don't matter.  An empty table gives an empty table."""
     docs = table(spark, sf_dir, "documents")
     found = score(docs, fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic")))
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), F.size("spans").alias("n_spans"))
+    return found.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), F.size("spans").alias("n_spans"))

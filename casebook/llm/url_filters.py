@@ -89,6 +89,10 @@ def page_lists(pages: DataFrame) -> DataFrame:
 
 
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages judged by the lists as they stood when each was fetched: one row for each row.
+
+    A null url, or one without a host, is on no list; repeated rows are judged alike; page_id names a capture; html and other columns don't matter.  Of entries of a
+    pattern on one day a removal comes first.  An empty table gives an empty table."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     found = url_verdicts(page_captures(pages), page_lists(pages))
     return found.select(F.col("key").alias("page_id"), "host", "day", "lists", "since", "blocked")
