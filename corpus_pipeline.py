@@ -14,27 +14,40 @@ from casebook.llm import common, jaccard_join, packing, quality, secrets, toxici
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules and their host's verdict keep."""
+    """Documents that the quality rules and their host's verdict keep.
+
+    A null or empty text has no words and goes; a null source counts as the empty one; repeated rows stay or go together; other columns stay as they are, whatever they
+    are called; an empty table stays empty.  A text of any length is counted whole."""
     return quality.keep_good(docs)
 
 
 def toxic_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that don't score as toxic, by a field fitted on labelled documents among `docs`."""
+    """Documents that don't score as toxic, by a field fitted on labelled documents among `docs`.
+
+    Labels are known but for held-out ids.  Without labelled documents of both classes all score alike and stay.  A null or empty text has the lowest score and stays;
+    repeated rows stay or go together; other columns stay as they are; an empty table stays empty.  A text of any length is scored whole."""
     return toxicity.keep_clean(docs, toxicity.fit(docs, common.table(spark, sf_dir, "labels").select("doc_id", "toxic")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id; of rows that share a doc_id, one."""
+    """Of each group of near duplicates the document with the smallest doc_id.
+
+    Of rows that share a doc_id and a text one stays; rows without a doc_id, and texts without words, are alike with nothing and stay; other columns stay as they are;
+    an empty table stays empty."""
     return jaccard_join.keep_heads(docs)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets in their texts replaced by a mark; n_chars follows."""
+    """All documents, secrets in their texts replaced by a mark; n_chars follows where a text has changed.
+
+    A null text stays null; repeated rows change alike; other columns stay as they are; an empty table stays empty.  A text of any length is scanned whole."""
     return secrets.redacted(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents, packed into sequences."""
+    """Pieces of all documents, packed into sequences: op1's rows.
+
+    A null or empty text is a piece of the end id alone; repeated rows are packed one by one; a null doc_id stays null; an empty table gives none."""
     return packing.pack_documents(docs)
 
 
