@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -12,10 +12,19 @@ def row_index(df: DataFrame, key: str, name: str = "idx", buckets: int | None =
     Rows are numbered inside ranges of the key; the ranges' counts, one row a range, give the offsets."""
     n = buckets or max(4, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     cuts = sorted({int(x) for x in df.select(key).na.drop().approxQuantile(key, [i / n for i in range(1, n)], 0.25 / n)})
-    table = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<long>")
-    ranged = df.withColumn("__range", F.size(F.filter(table, lambda c: c <= F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 62))))))
-    counts = ranged.groupBy("__range").agg(F.count("*").alias("n"))
+    # everything but the key travels in one struct, so no column's name can clash
+    placed = df.select(range_of(F.col(f"`{key}`").cast("long"), cuts).alias("range"), F.col(f"`{key}`").alias("key"), F.xxhash64(*[f"`{c}`" for c in df.columns if c != key]).alias("tie"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    counts = placed.groupBy("range").agg(F.count("*").alias("n"))
     # one row a range: so few that a window without partitions is harmless
-    before = counts.select("__range", (F.sum("n").over(Window.orderBy("__range")) - F.col("n")).alias("__before"))
-    inside = Window.partitionBy("__range").orderBy(key, F.xxhash64(*[c for c in df.columns if c != key]))
-    return ranged.withColumn("__i", F.row_number().over(inside) - 1).join(before, "__range").withColumn(name, F.col("__before") + F.col("__i")).select(*df.columns, name)
+    before = counts.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))
+    inside = placed.withColumn("i", F.row_number().over(Window.partitionBy("range").orderBy("key", "tie")) - 1)
+    return inside.join(before, "range").select(*[F.col(f"row.`{c}`").alias(c) for c in df.columns], (F.col("before") + F.col("i")).alias(name))
+
+
+def range_of(key: Column, cuts: list[int]) -> Column:
+    """How many cuts are <= key, a null key's being 0: a binary search in an array that is part of the plan."""
+    if not cuts:
+        return F.lit(0)
+    table = F.array(*[F.lit(c).cast("long") for c in cuts])
+    steps = F.array(*[F.lit(1 << k) for k in range(len(cuts).bit_length() - 1, -1, -1)])
+    return F.coalesce(F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(table, at + step - 1) <= key, at + step).otherwise(at)), F.lit(0))

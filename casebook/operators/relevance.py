@@ -15,8 +15,14 @@ def relevance(title: Column, summary: Column, attack: list[str], event: list[str
 
     Attack words add .40, two of them .15 and four .10 more; event words .20; either in the headline .10 each; up to two words of other
     matters take .15 each.  Weak attack words alone, without a context word, don't count."""
-    head, rest = normalize_text(title), normalize_text(summary)
-    text = F.btrim(F.concat_ws(" ", head, rest))
+    # both texts are normalized once a row, however many words are looked for
+    norm = F.struct(normalize_text(title).alias("head"), normalize_text(summary).alias("rest"))
+    given = F.transform(F.array(norm), lambda t: F.struct(t["head"].alias("head"), F.btrim(F.concat_ws(" ", t["head"], t["rest"])).alias("text")))
+    return F.transform(given, lambda t: _judged(t["head"], t["text"], attack, event, other, weak, context))[0]
+
+
+def _judged(head: Column, text: Column, attack: list[str], event: list[str], other: list[str], weak: list[str], context: list[str]) -> Column:
+    """relevance() of normalized texts."""
     find = lambda where, words: drop_overlapping(find_keywords(where, list(words)), list(words))
     raw = F.struct(find(text, attack).alias("attack"), find(text, event).alias("event"), find(text, other).alias("other"), find(head, attack).alias("head_attack"),
                    find(head, event).alias("head_event"), (F.size(find_keywords(text, list(context))) > 0).alias("context"))

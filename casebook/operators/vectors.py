@@ -35,9 +35,10 @@ def neighbours(rows: DataFrame, top: int = TOP, least: float = RELATED, window:
             sims = unit(a.vec) @ unit(b.vec).T
             gap = np.abs(a.day.to_numpy(float)[:, None] - b.day.to_numpy(float)[None, :])
             sims[(gap > window) | (a.id.to_numpy()[:, None] == b.id.to_numpy()[None, :])] = -2
+            others, near = b.id.to_numpy(), np.round(sims, 9)
             for i in range(len(a)):
-                best = np.argsort(-sims[i], kind="stable")[: 4 * top]  # a few more, so that ties are settled by id afterwards
-                best = best[sims[i, best] >= least]
+                best = np.flatnonzero(sims[i] >= least)
+                best = best[np.lexsort((others[best], -near[i, best]))][:top]  # ties by id, as in the end
                 out["id"] += [a.id.iat[i]] * len(best)
                 out["other"] += b.id.to_numpy()[best].tolist()
                 out["similarity"] += sims[i, best].tolist()

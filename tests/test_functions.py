@@ -61,7 +61,14 @@ def test_domain(spark, url, want):
 
 def test_country(spark):
     assert one(spark, text.country_of(F.col("a")), a="news.co.id") == "ID"
-    assert one(spark, text.country_of(F.col("a")), a="startup.io") is None
+    for domain, want in (("startup.io", "unknown"), ("tempo.co", "unknown"), ("paper.com.co", "CO"), ("news.ca", "CA"), ("giornale.it", "IT"), ("bbc.co.uk", "GB"), ("x.com", "unknown"), ("id", "unknown"), ("", "unknown")):
+        assert one(spark, text.country_of(F.col("a")), a=domain) == want
+
+
+def test_language_needs_more_distinct_words(spark):
+    for given, want in (("the the the dan", ("unknown", 0.3)), ("dan yang the", ("id", 0.6)), ("The cyber attack", ("en", 0.6)), ("", ("unknown", 0.3))):
+        language, sure = text.guess_language(F.col("a"))
+        assert (one(spark, language, a=given), one(spark, sure, a=given)) == want
 
 
 def test_indicators(spark):
