@@ -17,17 +17,21 @@ ACTOR = (rf"{NAME}\s+(?:ransomware|hacking|hacker)\s+(?:gang|group|operators?)",
 NOT_A_NAME = ("The", "This", "That", "It", "Hackers", "Attackers", "Police", "Government", "Researchers", "Experts", "Report", "Company", "Data", "Cyber")
 
 
+def _tidy(names: Column) -> Column:
+    """Names without an article before, connecting words or stops behind."""
+    return F.transform(names, lambda n: F.btrim(F.regexp_replace(F.regexp_replace(n, r"(?:\s+(?:of|and|for|the)|[\s.,'&-]+)+$", ""), r"^(?:The|the)\s+", "")))
+
+
 def name_in(text: Column, patterns: tuple[str, ...], rejected: tuple[str, ...] = NOT_A_NAME) -> Column:
     """The first acceptable name: patterns in order, of each its matches in order; null if none."""
     found = F.concat(*[F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(p), 1) for p in patterns])
-    tidy = F.transform(found, lambda n: F.btrim(F.regexp_replace(F.regexp_replace(n, r"(?:\s+(?:of|and|for|the))+$", ""), r"^(?:The|the)\s+", "")))
-    return F.get(F.filter(tidy, lambda n: (n != "") & ~n.isin(*rejected) & (F.length(n) <= 60)), F.lit(0))
+    return F.get(F.filter(_tidy(found), lambda n: (n != "") & ~n.isin(*rejected) & (F.length(n) <= 60)), F.lit(0))
 
 
 def names_in(text: Column, patterns: tuple[str, ...], most: int = 3) -> Column:
     """Up to `most` names, once each whatever their case, in order."""
     found = F.concat(*[F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(p), 1) for p in patterns])
-    ok = F.filter(F.transform(found, lambda n: F.btrim(n)), lambda n: (n != "") & ~n.isin(*NOT_A_NAME))
+    ok = F.filter(_tidy(found), lambda n: (n != "") & ~n.isin(*NOT_A_NAME))
     first = F.filter(ok, lambda n, i: F.array_position(F.transform(ok, lambda o: F.lower(o)), F.lower(n)) == i + 1)
     return F.slice(first, 1, most)
 
