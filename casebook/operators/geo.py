@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Names of at most so many places are broadcast.
+BROADCAST_NAMES = 200_000
+
+
 def gazetteer(places: DataFrame) -> DataFrame:
     """(name, region, is_city, context) to lower-case names; a name in two regions is dropped, a city comes before a region of its name (G-01)."""
     low = places.withColumn("name", F.lower(F.btrim("name"))).where("name <> ''")
@@ -29,7 +33,9 @@ def phrases(text: Column, longest: int = 3) -> Column:
 
 def mentions(texts: DataFrame, places: DataFrame, longest: int = 3) -> DataFrame:
     """(id, text) to (id, name, region) of the names found; a name with a context word counts only where that word stands too (G-02, G-03, J-16)."""
-    found = texts.select("id", F.explode(phrases(F.col("text"), longest)).alias("name")).join(places, "name")
+    # a list of counted size goes to the texts; beyond that, phrases and names meet by shuffle
+    near = F.broadcast(places) if places.count() <= BROADCAST_NAMES else places
+    found = texts.select("id", F.explode(phrases(F.col("text"), longest)).alias("name")).join(near, "name")
     needs = found.where("context IS NOT NULL").join(texts.select("id", phrases(F.col("text"), 1).alias("w")), "id").where(F.array_contains("w", F.lower("context"))).select("id", "name", "region")
     return found.where("context IS NULL").select("id", "name", "region").union(needs).distinct()
 

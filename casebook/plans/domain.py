@@ -7,13 +7,12 @@ from pyspark.sql import functions as F
 
 from casebook.functions.ids import article_uid, canonical_json, content_hash, entity_id, incident_id
 from casebook.functions.storage import materialize
-from casebook.functions.text import clean_html, country_of, domain_of, jaccard, normalize_text, tokenize
+from casebook.functions.text import clean_html, clean_text, country_of, domain_of, normalize_text, tokenize
 from casebook.operators import cluster, flows, geo, graph, ledger, linkage, ordering, relevance, sync, trust, vectors
 from casebook.plans.base import load, query
 
 _TOK = r"list_filter(list_distinct(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')), lambda t: length(t) >= 3)"
 _TITLE = "string_split(text, chr(10))[1]"
-_JAC = "(CASE WHEN len(list_distinct(list_concat({0}, {1}))) = 0 THEN 0.0 ELSE len(list_intersect({0}, {1})) / len(list_distinct(list_concat({0}, {1}))) END)"
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,42 +23,45 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return articles(spark, sf_dir).select("id", "site", tokenize(F.col("text")).alias("tokens"), tokenize(F.col("title")).alias("title_tokens"))
+    return articles(spark, sf_dir).select("id", tokenize(F.col("text")).alias("tokens"))
+
+
+def _cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles with cleaned text, its tokens, cleaned headline and site."""
+    rows = articles(spark, sf_dir).select("id", "site", clean_text(F.col("text")).alias("clean"), clean_text(F.col("title")).alias("title"))
+    return rows.select("*", F.xxhash64("clean").alias("text_key"), F.filter(F.array_distinct(F.split("clean", " ")), lambda t: F.length(t) > 2).alias("tokens"))
 
 
 def _relations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(profiles, related): documents with equal tokens, headline and site as one, and all pairs of them with Jaccard index >= 1/5."""
-    found = materialize(linkage.profiles(_tokens(spark, sf_dir), "title_tokens", "site"), "profiles")
-    return found, materialize(linkage.related_profiles(found, 1, 5), "related")
+    """(profiles, related): documents with equal cleaned text, headline and site as one, and all pairs of them of Jaccard index >= 3/10.
+
+    No other pair can be a duplicate or a reproduction: that takes a text likeness of .65 at least, half of which is the index."""
+    rows = _cleaned(spark, sf_dir)
+    found = materialize(linkage.profiles(rows.select("id", "tokens", "text_key", "title", "site"), "text_key", "title", "site"), "profiles")
+    return found, materialize(linkage.related_profiles(found, rows.select("id", "clean"), 3, 10), "related")
 
 
 def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linkage.profile_keys(_tokens(spark, sf_dir), "title_tokens", "site")
+    return linkage.profile_keys(_cleaned(spark, sf_dir), "text_key", "title", "site")
 
 
-_PAIRS = rf"""arts AS (SELECT doc_id AS id, source AS site, {_TOK.format('text')} AS t, {_TOK.format(_TITLE)} AS h FROM documents),
-tok AS (SELECT id, unnest(t) AS k FROM arts), few AS (SELECT k FROM tok GROUP BY k HAVING count(*) BETWEEN 2 AND 12),
-blk AS (SELECT id, k FROM tok SEMI JOIN few USING (k)),
-cand AS (SELECT DISTINCT x.id AS a, y.id AS b FROM blk x JOIN blk y ON x.k = y.k AND x.id < y.id),
-sims AS (SELECT a, b, {_JAC.format('x.t', 'y.t')} AS text_s, {_JAC.format('x.h', 'y.h')} AS title_s, x.site = y.site AS same FROM cand JOIN arts x ON x.id = a JOIN arts y ON y.id = b),
-rels AS (SELECT *, CASE WHEN text_s >= 0.9 THEN 'LIKELY_DUPLICATE' WHEN text_s >= 0.8 AND title_s >= 0.85 THEN 'LIKELY_REPRODUCED' WHEN title_s >= 0.85 AND text_s >= 0.65 THEN 'POSSIBLE_REPRODUCED'
-WHEN same AND text_s >= 0.7 THEN 'POSSIBLE_DUPLICATE' WHEN text_s <= 0.4 THEN 'LIKELY_INDEPENDENT' ELSE 'UNCERTAIN_RELATION' END AS relation,
-greatest(0.0, least(1.0, 1.0 - text_s * 0.6 - title_s * 0.25 - CASE WHEN same THEN 0.1 ELSE 0.0 END)) AS ind FROM sims WHERE text_s >= 0.2)"""
+#: All pairs of documents that share a token, with the Jaccard index of their tokens.
+_PAIRS = rf"""arts AS (SELECT doc_id AS id, {_TOK.format('text')} AS t FROM documents), tok AS (SELECT id, unnest(t) AS k FROM arts), num AS (SELECT id, hash(k) AS k FROM tok),
+cnt AS (SELECT x.id AS a, y.id AS b, count(*) AS shared FROM num x JOIN num y ON x.k = y.k AND x.id < y.id GROUP BY x.id, y.id),
+sims AS (SELECT a, b, shared / (len(x.t) + len(y.t) - shared) AS j FROM cnt JOIN arts x ON x.id = a JOIN arts y ON y.id = b)"""
 
 
-@query(f"WITH {_PAIRS} SELECT relation, count(*) AS n, round(avg(text_s), 4) AS mean_text, round(avg(ind), 4) AS mean_independence FROM rels GROUP BY relation")
+@query()
 def near_dup_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Relations between all documents that share a fifth of their tokens, by kind (A-09, J-13, F-08, D-02, D-03)."""
+    """Relations between all documents that share three tenths of their tokens, by kind (J-13, F-08, F-10, F-18, D-01 to D-03)."""
     _, related = _relations(spark, sf_dir)
     mean = lambda c: F.round(F.sum(F.col(c) * F.col("pairs")) / F.sum("pairs"), 4)
     return related.groupBy("relation").agg(F.sum("pairs").alias("n"), mean("text_similarity").alias("mean_text"), mean("independence").alias("mean_independence"))
 
 
-@query(f"""WITH {_PAIRS}, sides AS (SELECT a AS id, relation FROM rels UNION ALL SELECT b, relation FROM rels),
-flags AS (SELECT id, bool_or(relation = 'LIKELY_INDEPENDENT') AS i, bool_or(relation LIKE '%REPRODUCED') AS r, bool_or(relation LIKE '%DUPLICATE') AS d FROM sides GROUP BY id)
-SELECT arts.id, CASE WHEN i THEN 'INDEPENDENT_SUPPORT' WHEN r THEN 'REPRODUCED_OR_SYNDICATED' WHEN d THEN 'DUPLICATE_OR_REPEATED' ELSE 'SINGLE_SOURCE' END AS label FROM arts LEFT JOIN flags USING (id)""")
+@query()
 def evidence_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Evidence label of each document (A-28, D-04)."""
+    """Evidence label of each document from its relations (A-28, D-04)."""
     found, related = _relations(spark, sf_dir)
     labels = linkage.evidence_labels(related.select("a", "b", "relation"), found.select(F.col("key").alias("id")))
     return _members(spark, sf_dir).join(labels.withColumnRenamed("id", "key"), "key").select("id", "label")
@@ -73,16 +75,9 @@ def doc_token_df(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def seq_similarity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """difflib's ratio of near pairs, mixed with their token likeness (F-18, D-01)."""
+    """Text and title likeness of all near pairs of different documents, each class of copies by its first one (F-18, D-01)."""
     _, related = _relations(spark, sf_dir)
-    near, own = related.where("text_similarity >= 0.35").select("a", "b", "text_similarity"), materialize(_members(spark, sf_dir), "members")
-    side = lambda x, k: own.select(F.col("id").alias(x), F.col("key").alias(k))
-    met = near.join(side("x", "a"), "a").join(side("y", "b"), "b").where((F.col("a") != F.col("b")) | (F.col("x") < F.col("y")))
-    pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "text_similarity")
-    texts = articles(spark, sf_dir).select("id", normalize_text(F.col("text")).alias("t"))
-    met = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("a_text")), "a").join(texts.select(F.col("id").alias("b"), F.col("t").alias("b_text")), "b")
-    ratio = linkage.sequence_ratio()
-    return met.withColumn("ratio", ratio).select("a", "b", F.round("ratio", 6).alias("ratio"), F.round(F.col("text_similarity") * 0.5 + F.col("ratio") * 0.5, 6).alias("similarity"))
+    return related.where("a <> b").select(F.col("x").alias("a"), F.col("y").alias("b"), "pairs", F.round("ratio", 6).alias("ratio"), F.round("text_similarity", 6).alias("similarity"), F.round("title_similarity", 6).alias("title_similarity"), "relation")
 
 
 @query(r"""WITH RECURSIVE h AS (SELECT doc_id AS id, regexp_replace(trim(lower(string_split(text, chr(10))[1])), '\s+', ' ', 'g') AS headline, ((doc_id * 37) % 200) * 86400 AS t FROM documents),
@@ -143,20 +138,42 @@ def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH d AS (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)), '^www\\.', '') AS domain FROM pages)
-SELECT domain, count(*) AS n, min(page_id) AS first_page, CAST(NULL AS VARCHAR) AS country FROM d GROUP BY domain""")
+SELECT domain, count(*) AS n, min(page_id) AS first_page, 'unknown' AS country FROM d GROUP BY domain""")
 def page_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Domains of pages with the country their name gives (F-11, F-13)."""
     return load(spark, sf_dir, "pages").groupBy(domain_of(F.col("url")).alias("domain")).agg(F.count("*").alias("n"), F.min("page_id").alias("first_page")).withColumn("country", country_of(F.col("domain")))
 
 
-@query(rf"""WITH p AS (SELECT p_partkey AS id, p_brand, lower(p_name) AS nm, list_distinct(string_split(trim(regexp_replace(lower(p_name), '\s+', ' ', 'g')), ' ')) AS t FROM part)
-SELECT a.id AS a, b.id AS b, round(CASE WHEN a.nm = b.nm THEN 1.0 ELSE 0.5 * {_JAC.format('a.t', 'b.t')} + 0.5 * (1 - levenshtein(a.nm, b.nm) / greatest(length(a.nm), length(b.nm))) END, 6) AS score
-FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.id < b.id AND a.t[1] = b.t[1] WHERE abs(length(a.nm) - length(b.nm)) <= 0.3 * greatest(length(a.nm), length(b.nm))
-AND CASE WHEN a.nm = b.nm THEN 1.0 ELSE 0.5 * {_JAC.format('a.t', 'b.t')} + 0.5 * (1 - levenshtein(a.nm, b.nm) / greatest(length(a.nm), length(b.nm))) END >= 0.85""")
+def _part_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.concat_ws(" ", "p_name", "p_type", F.lit("part of size"), F.col("p_size").cast("string"), F.lit("by"), "p_brand")
+    return load(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), name.alias("name"))
+
+
+_NAMES = """p AS (SELECT lower(concat_ws(' ', p_name, p_type, 'part of size', p_size, 'by', p_brand)) AS nm, min(p_partkey) AS head, count(*) AS n FROM part GROUP BY 1), t AS (SELECT *, list_distinct(string_split(nm, ' ')) AS t FROM p),
+tk AS (SELECT head, len(t) AS size, hash(unnest(t)) AS k FROM t), c AS (SELECT x.head AS a, y.head AS b, any_value(x.size) + any_value(y.size) - count(*) AS u, count(*) AS i FROM tk x JOIN tk y ON x.k = y.k AND x.head < y.head GROUP BY x.head, y.head HAVING count(*) * 10 >= 7 * (any_value(x.size) + any_value(y.size) - count(*))),
+f AS (SELECT a, b, 0.5 * i / u + 0.5 * (1 - levenshtein(x.nm, y.nm) / greatest(length(x.nm), length(y.nm))) AS score, x.n * y.n AS pairs FROM c JOIN p x ON x.head = a JOIN p y ON y.head = b WHERE abs(length(x.nm) - length(y.nm)) <= 0.3 * greatest(length(x.nm), length(y.nm)))"""
+
+
+@query(f"WITH {_NAMES} SELECT a, b, round(score, 6) AS score, pairs FROM f WHERE score >= 0.85 UNION ALL SELECT head, head, 1.0, n * (n - 1) // 2 FROM p WHERE n > 1")
 def entity_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names alike within a block (E-03, F-15, F-16, J-17)."""
-    names = load(spark, sf_dir, "part").select("p_brand", F.split_part(F.lower("p_name"), F.lit(" "), F.lit(1)).alias("first"), F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
-    return linkage.fuzzy_join(names, ["p_brand", "first"]).withColumn("score", F.round("score", 6))
+    """All pairs of names alike, between the first of those with equal names; pairs: how many pairs of rows each stands for (E-02, E-03, F-15, F-16, J-17)."""
+    classes = materialize(linkage.name_classes(_part_names(spark, sf_dir)), "classes")
+    side = lambda x: classes.select(F.col("key").alias(x), F.col("head").alias(f"{x}_head"), F.col("copies").alias(f"{x}_n"))
+    met = linkage.fuzzy_pairs(classes).join(side("a"), "a").join(side("b"), "b")
+    cross = met.select(F.least("a_head", "b_head").alias("a"), F.greatest("a_head", "b_head").alias("b"), F.round("score", 6).alias("score"), (F.col("a_n") * F.col("b_n")).alias("pairs"))
+    return cross.union(classes.where("copies > 1").select(F.col("head").alias("a"), F.col("head").alias("b"), F.lit(1.0).alias("score"), F.expr("copies * (copies - 1) div 2").alias("pairs")))
+
+
+@query("""WITH n AS (SELECT p_partkey AS id, lower(concat_ws(' ', p_name, p_type, 'part of size', p_size, 'by', p_brand)) AS nm FROM part), e AS (SELECT nm, min(id) AS entity FROM n WHERE id % 3 = 0 GROUP BY nm), m AS (SELECT nm FROM n WHERE id % 3 <> 0 GROUP BY nm),
+et AS (SELECT entity, nm, len(t) AS size, hash(unnest(t)) AS k FROM (SELECT *, list_distinct(string_split(nm, ' ')) AS t FROM e)), mt AS (SELECT nm, len(t) AS size, hash(unnest(t)) AS k FROM (SELECT *, list_distinct(string_split(nm, ' ')) AS t FROM m WHERE nm NOT IN (SELECT nm FROM e))),
+c AS (SELECT mt.nm AS a, et.nm AS b, entity, count(*) AS i, any_value(mt.size) + any_value(et.size) - count(*) AS u FROM mt JOIN et USING (k) GROUP BY mt.nm, et.nm, entity HAVING count(*) * 10 >= 7 * (any_value(mt.size) + any_value(et.size) - count(*))),
+s AS (SELECT a, entity, 0.5 * i / u + 0.5 * (1 - levenshtein(a, b) / greatest(length(a), length(b))) AS score FROM c WHERE abs(length(a) - length(b)) <= 0.3 * greatest(length(a), length(b))),
+best AS (SELECT a AS nm, entity, score FROM s WHERE score >= 0.85 QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(score, 9) DESC, entity) = 1 UNION ALL SELECT nm, entity, 1.0 FROM e)
+SELECT id, entity, round(score, 6) AS score FROM n LEFT JOIN best USING (nm) WHERE id % 3 <> 0""")
+def entity_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entity of each mention: by equal name, else the best fuzzy one (E-02 to E-04)."""
+    names = materialize(_part_names(spark, sf_dir), "parts")
+    return linkage.resolve_names(names.where("id % 3 <> 0"), names.where("id % 3 = 0")).withColumn("score", F.round("score", 6))
 
 
 @query("""WITH m AS (SELECT s_suppkey, 'ORG' AS kind, lower(s_name) AS norm FROM supplier), al AS (SELECT lower(s_name) AS norm, 'supplier group ' || (s_suppkey % 7) AS canonical FROM supplier WHERE s_suppkey % 3 = 0)
@@ -168,39 +185,52 @@ def entity_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkage.resolve_aliases(rows, known).select("s_suppkey", "canonical", entity_id(F.col("kind"), F.col("canonical")).alias("entity"))
 
 
-_COMP = f"""WITH RECURSIVE {_PAIRS}, e AS (SELECT a, b FROM rels WHERE text_s >= 0.5 UNION SELECT b, a FROM rels WHERE text_s >= 0.5),
-reach AS (SELECT a AS id, a AS c FROM e UNION SELECT reach.id, e.b FROM reach JOIN e ON e.a = reach.c)"""
-
-
-@query(f"{_COMP} SELECT id AS node, min(c) AS component FROM reach GROUP BY id")
+@query(f"""WITH RECURSIVE {_PAIRS}, e AS (SELECT a, b FROM sims WHERE j >= 0.5 UNION SELECT b, a FROM sims WHERE j >= 0.5),
+reach AS (SELECT a AS id, a AS c FROM e UNION SELECT reach.id, e.b FROM reach JOIN e ON e.a = reach.c) SELECT id AS node, min(c) AS component FROM reach GROUP BY id""")
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Connected components of near pairs (C-11)."""
-    found, related = _relations(spark, sf_dir)
-    own = _members(spark, sf_dir).join(found.where(F.size("tokens") > 0).select("key", "head"), "key").select(F.col("id").alias("a"), F.col("head").alias("b"))
-    return graph.connected_components(related.where("text_similarity >= 0.5").select(F.col("x").alias("a"), F.col("y").alias("b")).union(own))
-
-
-def _clustered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Articles of which one stands for those of equal tokens and day, all their near pairs, and the pairs (one, other) of those it stands for."""
-    rows = articles(spark, sf_dir).select("id", "day", tokenize(F.col("text")).alias("tokens"))
-    found = materialize(linkage.profiles(rows, "day"), "profiles")
+    """Connected components of documents that share half of their tokens (C-11, U-02)."""
+    rows = _tokens(spark, sf_dir).select("id", "tokens", F.xxhash64(F.array_sort("tokens")).alias("set"))
+    found = materialize(linkage.profiles(rows, "set").where(F.size("tokens") > 0), "profiles")
     heads = found.select("key", "head")
-    own = linkage.profile_keys(rows, "day").join(found.where(F.size("tokens") > 0).select("key", "head"), "key").select(F.col("head").alias("a"), F.col("id").alias("b"))
-    near = linkage.alike_pairs(found.select("key", "tokens"), 7, 20).select("a", "b")
-    candidates = near.join(heads.select(F.col("key").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("key").alias("b"), F.col("head").alias("y")), "b")
-    none = F.lit(None).cast("string")
-    full = rows.select("id", "day", none.alias("target"), none.alias("actor"), "tokens", F.array().cast("array<string>").alias("kinds"), none.alias("location"), F.lit(None).cast("long").alias("attack_day"), none.alias("method"), F.array().cast("array<string>").alias("rare"))
-    return full, materialize(candidates.select(F.col("x").alias("a"), F.col("y").alias("b")), "candidates"), own
-
-
-@query(rf"""WITH RECURSIVE {_PAIRS}, d AS (SELECT doc_id AS id, (doc_id * 37) % 200 AS day FROM documents),
-l AS (SELECT a, b FROM rels JOIN d x ON x.id = a JOIN d y ON y.id = b WHERE text_s >= 0.7 AND abs(x.day - y.day) <= 14), e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+    own = linkage.profile_keys(rows, "set").join(heads, "key").select(F.col("id").alias("a"), F.col("head").alias("b"))
+    near = linkage.alike_pairs(found.select("key", "tokens"), 1, 2).join(heads.select(F.col("key").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("key").alias("b"), F.col("head").alias("y")), "b")
+    return graph.connected_components(near.select(F.col("x").alias("a"), F.col("y").alias("b")).union(own))
+
+
+def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles with the fields by which incidents are told apart, taken from the table's columns."""
+    rows, k = articles(spark, sf_dir), F.col("id")
+    kinds = F.array_compact(F.array(F.when(F.contains(F.lower("text"), F.lit("license")), "license"), F.when(F.length("text") > 3000, "long")))
+    return rows.select("id", "day", F.when((F.col("lang") == "en") & (k % 4 == 0), F.col("site")).alias("target"), F.when(k % 5 != 0, F.col("lang")).alias("actor"), tokenize(F.col("text")).alias("tokens"), kinds.alias("kinds"),
+                       F.when(k % 3 == 0, "unknown").otherwise(F.concat("lang", F.lit(" town"))).alias("location"), F.when(k % 2 == 0, F.col("day")).alias("attack_day"), F.when(F.length("text") > 500, "long text").otherwise("short text").alias("method"), F.array().cast("array<string>").alias("rare"))
+
+
+@query(rf"""WITH RECURSIVE {_PAIRS}, d AS (SELECT doc_id AS id, (doc_id * 37) % 200 AS day, CASE WHEN lang = 'en' AND doc_id % 4 = 0 THEN source END AS target, CASE WHEN doc_id % 5 <> 0 THEN lang END AS actor,
+  list_filter([CASE WHEN contains(lower(text), 'license') THEN 'license' END, CASE WHEN length(text) > 3000 THEN 'long' END], lambda x: x IS NOT NULL) AS kinds, CASE WHEN doc_id % 3 <> 0 THEN lang || ' town' END AS location,
+  CASE WHEN doc_id % 2 = 0 THEN (doc_id * 37) % 200 END AS aday, CASE WHEN length(text) > 500 THEN 'long text' ELSE 'short text' END AS method FROM documents),
+p AS (SELECT sims.*, x.target IS NOT DISTINCT FROM y.target AND x.target IS NOT NULL AS same_target, x.actor IS NOT DISTINCT FROM y.actor AND x.actor IS NOT NULL AS same_actor,
+  coalesce(x.target <> y.target, false) OR coalesce(x.actor <> y.actor, false) AS clash, abs(x.day - y.day) > 14 OR coalesce(abs(x.aday - y.aday) >= 14, false) AS far, len(x.kinds) = 0 OR len(y.kinds) = 0 OR list_has_any(x.kinds, y.kinds) AS fits,
+  CASE WHEN x.target IS NOT NULL AND y.target IS NOT NULL THEN 1.0 END AS ft, CASE WHEN x.actor IS NOT NULL AND y.actor IS NOT NULL THEN 1.0 END AS fa,
+  CASE WHEN len(x.kinds) > 0 AND len(y.kinds) > 0 THEN len(list_intersect(x.kinds, y.kinds)) / len(list_distinct(x.kinds || y.kinds)) END AS fk,
+  CASE WHEN x.location = y.location THEN 1.0 WHEN x.location IS NOT NULL AND y.location IS NOT NULL THEN 1 / 3 END AS fl, greatest(0.0, 1 - abs(x.aday - y.aday) / 14) AS fd0, x.aday IS NOT NULL AND y.aday IS NOT NULL AS dated,
+  CASE WHEN x.method = y.method THEN 1.0 ELSE 1 / 3 END AS fm FROM sims JOIN d x ON x.id = a JOIN d y ON y.id = b WHERE j >= 0.35),
+q AS (SELECT *, (coalesce(ft * 0.3, 0) + j * 0.3 + coalesce(fa * 0.15, 0) + coalesce(fk * 0.1, 0) + coalesce(fl * 0.05, 0) + CASE WHEN dated THEN fd0 * 0.05 ELSE 0 END + fm * 0.05)
+  / (CASE WHEN ft IS NULL THEN 0 ELSE 0.3 END + 0.3 + CASE WHEN fa IS NULL THEN 0 ELSE 0.15 END + CASE WHEN fk IS NULL THEN 0 ELSE 0.1 END + CASE WHEN fl IS NULL THEN 0 ELSE 0.05 END + CASE WHEN dated THEN 0.05 ELSE 0 END + 0.05) AS score FROM p),
+l AS (SELECT a, b FROM q WHERE NOT clash AND NOT far AND (fits OR same_target) AND (((same_target OR (same_actor AND j >= 0.3)) AND score >= 0.4) OR score >= 0.7)), e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
 reach AS (SELECT a AS id, a AS c FROM e UNION SELECT reach.id, e.b FROM reach JOIN e ON e.a = reach.c), c AS (SELECT id, min(c) AS c FROM reach GROUP BY id)
 SELECT coalesce(c, d.id) AS incident, d.id FROM d LEFT JOIN c USING (id)""")
 def incident_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Articles grouped to incidents by constraints, similarity and components (C-02 to C-08, J-14)."""
-    rows, candidates, own = _clustered(spark, sf_dir)
-    return cluster.incidents(rows, cluster.link_articles(rows, candidates).select("a", "b").union(own))
+    """Articles grouped to incidents by constraints, weighted similarity and components; candidates share 7/20 of their tokens (C-02 to C-08, J-14)."""
+    rows = materialize(_fields(spark, sf_dir), "fields")
+    columns = [c for c in rows.columns if c not in ("id", "tokens")]
+    keyed = rows.select("id", "tokens", F.xxhash64(F.array_sort("tokens")).alias("set"), *columns)
+    found = materialize(linkage.profiles(keyed, "set", *columns), "profiles")
+    heads = found.select("key", "head")
+    near = linkage.alike_pairs(found.select("key", "tokens"), 7, 20).join(heads.select(F.col("key").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("key").alias("b"), F.col("head").alias("y")), "b")
+    links = cluster.link_articles(rows, near.select(F.col("x").alias("a"), F.col("y").alias("b"))).select("a", "b")
+    # rows of equal fields and tokens are alike in all that is compared, so they are linked
+    own = linkage.profile_keys(keyed, "set", *columns).join(found.where((F.col("copies") > 1) & (F.size("tokens") > 0)).select("key", "head"), "key").select(F.col("head").alias("a"), F.col("id").alias("b"))
+    return cluster.incidents(rows, links.union(own))
 
 
 @query()
@@ -211,15 +241,6 @@ def incident_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.chain(rows)
 
 
-@query("""WITH i AS (SELECT o_orderkey AS id, o_orderdate::DATE AS first_day FROM orders), p AS (SELECT o_orderkey AS a, o_orderkey + 4 AS b, (o_orderkey % 10) / 10 AS c FROM orders),
-g AS (SELECT a, b FROM p WHERE c >= 0.7 AND b IN (SELECT id FROM i)) SELECT count(*) AS n FROM g""")
-def judged_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Judged pairs that may merge: confident ones whose both ends exist (C-11, C-12)."""
-    orders = load(spark, sf_dir, "orders")
-    pairs = orders.select(F.col("o_orderkey").alias("a"), (F.col("o_orderkey") + 4).alias("b"), ((F.col("o_orderkey") % 10) / 10).alias("c"))
-    return pairs.where("c >= 0.7").join(orders.select(F.col("o_orderkey").alias("b")), "b", "left_semi").agg(F.count("*").alias("n"))
-
-
 @query("""WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e, (vec_id * 13) % 300 AS day, label FROM embeddings), n AS (SELECT id, day, label, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS u FROM v),
 s AS (SELECT a.id, b.id AS other, list_sum(list_transform(list_zip(a.u, b.u), lambda z: z[1] * z[2])) AS sim, abs(a.day - b.day) AS gap, a.label % 2 <> b.label % 2 AS cross_ FROM n a JOIN n b ON a.id <> b.id AND abs(a.day - b.day) <= 60)
 SELECT id, other, round(sim, 4) AS similarity, gap, (sim >= 0.95 AND gap <= 3) OR (cross_ AND sim >= 0.92 AND gap <= 7) AS same_event FROM s WHERE sim >= 0.3 QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(sim, 9) DESC, other) <= 5""")
@@ -232,17 +253,19 @@ def knn_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.select("id", "other", F.round("similarity", 4).alias("similarity"), "gap", vectors.same_event(F.col("similarity"), F.col("gap"), F.col("la"), F.col("lb")).alias("same_event"))
 
 
-@query(rf"""WITH {_PAIRS}, s AS (SELECT source AS incident, count(*) AS docs, count(DISTINCT lang) AS domains, avg((n_chars > 1500)::INT) AS content FROM documents GROUP BY source),
-i AS (SELECT x.site AS incident, avg(ind) AS ind FROM rels JOIN arts x ON x.id = a JOIN arts y ON y.id = b WHERE x.site = y.site GROUP BY 1),
-t AS (SELECT s.incident, 0.3 * least(1.0, greatest(0.0, (domains - 1) / 4)) + 0.3 * CASE WHEN docs >= 2 THEN least(1.0, greatest(0.0, coalesce(ind, 0.0))) ELSE 0.35 END + 0.2 * 0.5 + 0.1 * content + 0.1 * 1.0 AS score FROM s LEFT JOIN i USING (incident))
-SELECT incident, round(score, 4) AS score, CASE WHEN score >= 0.72 THEN 'high' WHEN score >= 0.45 THEN 'medium' ELSE 'low' END AS level FROM t""")
+@query("""WITH m AS (SELECT l_orderkey AS i, l_suppkey % 30 AS source, l_returnflag = 'R' AS fetched, CASE WHEN l_linenumber % 5 = 0 THEN 0.0 WHEN l_partkey % 3 = 0 THEN 0.9 ELSE 0.7 END AS claim, CASE WHEN l_linenumber % 2 = 1 THEN round(1 - l_discount * 4.731, 5) END AS ind FROM lineitem),
+s AS (SELECT i, count(*) AS docs, count(DISTINCT source) AS domains, avg(fetched::INT) AS content, max(claim) AS claim, avg(ind) AS ind FROM m GROUP BY i),
+t AS (SELECT i, 0.3 * least(1.0, greatest(0.0, (domains - 1) / 4)) + 0.3 * CASE WHEN docs >= 2 THEN CASE WHEN ind IS NULL THEN 0.0 ELSE least(1.0, greatest(0.0, ind)) END ELSE 0.35 END + 0.2 * claim + 0.1 * content + 0.1 * ((o_custkey % 5) / 5.3) AS score FROM s JOIN orders ON o_orderkey = i)
+SELECT i AS incident, round(score, 4) AS score, CASE WHEN score >= 0.72 THEN 'high' WHEN score >= 0.45 THEN 'medium' ELSE 'low' END AS level FROM t""")
 def trust_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trust of each source's documents as one incident (V-01, V-02, F-37, F-38)."""
-    per = load(spark, sf_dir, "documents").groupBy(F.col("source").alias("incident")).agg(F.count("*").alias("docs"), F.countDistinct("lang").alias("domains"), F.avg((F.col("n_chars") > 1500).cast("int")).alias("content"))
-    found, related = _relations(spark, sf_dir)
-    inner = related.where("same_site").join(found.select(F.col("key").alias("a"), "site"), "a").groupBy(F.col("site").alias("incident")).agg((F.sum(F.col("independence") * F.col("pairs")) / F.sum("pairs")).alias("ind"))
-    t = trust.trust(F.col("ind"), F.col("domains"), F.col("docs"), F.lit(0.5), F.col("content"), F.lit(1.0))
-    return per.join(inner, "incident", "left").select("incident", t.alias("t")).select("incident", "t.score", "t.level")
+    """Trust of orders as incidents: distinct sources, mean independence, the best claim in a JSON of confidences, share of fetched articles, the incident's own confidence (V-01, V-02, F-37, F-38, F-41)."""
+    k = F.col("l_linenumber")
+    confidences = F.when(k % 5 == 0, "{broken").otherwise(F.concat(F.lit('{"target":'), F.when(F.col("l_partkey") % 3 == 0, "0.9").otherwise("0.7"), F.lit("}")))
+    rows = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("incident"), (F.col("l_suppkey") % 30).alias("source"), (F.col("l_returnflag") == "R").cast("int").alias("fetched"), F.coalesce(F.get_json_object(confidences, "$.target").cast("double"), F.lit(0.0)).alias("claim"), F.when(k % 2 == 1, F.round(1 - F.col("l_discount") * 4.731, 5)).alias("independence"))
+    sums = rows.groupBy("incident").agg(F.count("*").alias("docs"), F.countDistinct("source").alias("domains"), F.avg("fetched").alias("content"), F.max("claim").alias("claim"), F.avg("independence").alias("independence"))
+    own = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("incident"), ((F.col("o_custkey") % 5) / 5.3).alias("confidence"))
+    c = F.col
+    return sums.join(own, "incident").select("incident", trust.trust(c("independence"), c("domains"), c("docs"), c("claim"), c("content"), c("confidence")).alias("t")).select("incident", "t.score", "t.level")
 
 
 def _votes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -377,5 +400,6 @@ def region_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = linkage.document_frequency(rows.select(tokenize(F.col("text"), 9).alias("t")), "t").where("df BETWEEN 4 AND 30")
     places = names.select(F.col("token").alias("name"), F.concat(F.lit("R"), F.length("token") % 5).alias("region"), F.lit(None).cast("string").alias("context"))
     site = rows.select("id", F.col("site").alias("incident"))
+    places = materialize(places, "places")
     found = lambda text: geo.mentions(rows.select("id", F.col(text).alias("text")), places, 1).join(site, "id")
     return geo.incident_regions(found("title"), found("text"))
