@@ -24,15 +24,14 @@ from pyspark.sql import functions as F
 from casebook.llm.common import table
 from casebook.llm.vocab import slices
 
-#: At most so many labelled documents of each class are fitted on, the first by a hash of doc_id; and lexicon words.
+#: At most so many labelled documents of each class are fitted on, the first by a hash of doc_id.  Lexicon and windows come from these and have no bound of their own.
 SAMPLE = {1: 6000, 0: 14000}
-LEXICON = 4096
 #: A lexicon word: in at least so many toxic contexts, with so much log-odds against the others and so great a likelihood ratio.
 LEAST_CONTEXTS, LEAST_ODDS, LEAST_GAIN = 3, 1.5, 20.0
 #: Upper ends of the grades 1, 2, ... of log-odds; a token's label is toxic from TOXIC_GRADE on.
 GRADES, TOXIC_GRADE = (2.0, 3.0, 4.0), 3
-#: Windows of tokens for fitting: their reach on both sides of a graded word, how many, and plain ones a document.
-REACH, WINDOWS = 5, 30_000
+#: Windows of tokens for fitting: their reach on both sides of a graded word.
+REACH = 5
 #: Powers of the transfer matrix kept; further ones equal their limit.
 POWERS = 64
 STRIP = ".,;:!?\"'()[]{}<>*_-#|~`"
@@ -79,16 +78,19 @@ def grade_tokens(texts: pa.Array, lexicon: dict[str, int]):
     return text, number[at] - number[offsets[text]], start, start + sizes[at], grade[codes[at]], np.diff(number[offsets])
 
 
-def fit_field(grades: np.ndarray, labels: np.ndarray, rounds: int = 300, rate: float = 0.1, decay: float = 1e-3) -> Model:
-    """Weights from windows (rows) of grades and toxic labels, by Adam on the exact log-likelihood."""
+def fit_field(grades: np.ndarray, labels: np.ndarray, weight: np.ndarray, rounds: int = 300, rate: float = 0.1, decay: float = 1e-3) -> Model:
+    """Weights from weighted windows (rows) of grades and toxic labels, by Adam on the exact log-likelihood."""
     model = Model()
     n, length = grades.shape
+    all_ = weight.sum()
     k = len(model.own)
     names = ("own", "before", "after", "move")
     mean = {x: np.zeros_like(getattr(model, x)) for x in names}
     var = {x: np.zeros_like(getattr(model, x)) for x in names}
     left, right = np.zeros_like(grades), np.zeros_like(grades)
     left[:, 1:], right[:, :-1] = grades[:, :-1], grades[:, 1:]
+    seen = np.zeros((2, 2))
+    np.add.at(seen, (labels[:, :-1].ravel(), labels[:, 1:].ravel()), np.repeat(weight, length - 1))
     for turn in range(1, rounds + 1):
         emit = np.stack([np.zeros((n, length)), model.emissions(grades)], -1)
         forward = np.empty((n, length, 2))
@@ -101,12 +103,11 @@ def fit_field(grades: np.ndarray, labels: np.ndarray, rounds: int = 300, rate: f
             back[:, t] = np.logaddexp(nxt[:, :1] + model.move[:, 0], nxt[:, 1:] + model.move[:, 1])
         total = np.logaddexp(forward[:, -1, 0], forward[:, -1, 1])
         toxic = np.exp(forward[..., 1] + back[..., 1] - total[:, None])
-        miss = labels - toxic
-        grad = {x: np.bincount(g.ravel(), miss.ravel(), k) / n for x, g in (("own", grades), ("before", left), ("after", right))}
-        pair = np.exp(forward[:, :-1, :, None] + model.move + (emit + back)[:, 1:, None, :] - total[:, None, None, None]).sum((0, 1))
-        seen = np.zeros((2, 2))
-        np.add.at(seen, (labels[:, :-1].ravel(), labels[:, 1:].ravel()), 1)
-        grad["move"] = (seen - pair) / n
+        miss = (labels - toxic) * weight[:, None]
+        grad = {x: np.bincount(g.ravel(), miss.ravel(), k) / all_ for x, g in (("own", grades), ("before", left), ("after", right))}
+        pair = np.exp(forward[:, :-1, :, None] + model.move + (emit + back)[:, 1:, None, :] - total[:, None, None, None])
+        pair = (pair * weight[:, None, None, None]).sum((0, 1))
+        grad["move"] = (seen - pair) / all_
         for x in names:
             g = grad[x] - decay * getattr(model, x)
             mean[x] = 0.9 * mean[x] + 0.1 * g
@@ -199,17 +200,18 @@ def class_weights(labels: DataFrame) -> dict[int, float]:
 
 
 def fitting_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text, toxic of at most SAMPLE labelled documents of each class that aren't held out.
+    """doc_id, text, toxic of at most SAMPLE labelled documents of each class that aren't held out; of rows that share a doc_id the least text.
 
     The list of ids has a fixed bound, so it is broadcast."""
     known = known_labels(labels)
     pick = lambda label: known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE[label])
-    return docs.select("doc_id", "text").join(F.broadcast(pick(1).union(pick(0))), "doc_id")
+    met = docs.select("doc_id", "text").join(F.broadcast(pick(1).union(pick(0))), "doc_id")
+    return met.groupBy("doc_id").agg(F.min("text").alias("text"), F.any_value("toxic").alias("toxic"))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Fits lexicon, field and curve; without documents of both classes, a model that scores all alike."""
-    sample = fitting_sample(docs, labels).repartition("doc_id").persist()
+    sample = fitting_sample(docs, labels).persist()
     try:
         counts = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
         if not (counts.get(0) and counts.get(1)):
@@ -219,12 +221,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         # a word counts once for each word before it, so copies of one text don't count for more
         contexts = sample.select("toxic", plain.alias("w")).select("toxic", F.explode(tokens).alias("t")).select("toxic", "t.*").where("word <> ''").distinct()
         words = contexts.groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")).persist()
-        all_t, all_c = words.agg(F.sum("t"), F.sum("c")).first()
+        all_t, all_c = (x or 1 for x in words.agg(F.sum("t"), F.sum("c")).first())  # 1: a class whose texts have no words
         t, c, share = F.col("t").cast("double"), F.col("c").cast("double"), all_t / (all_t + all_c)
         odds = F.log((t + 0.5) / (all_t + 1)) - F.log((c + 0.5) / (all_c + 1))
         gain = 2 * (t * F.log(t / ((t + c) * share)) + F.when(c > 0, c * F.log(c / ((t + c) * (1 - share)))).otherwise(0.0))
         graded = words.where(t >= LEAST_CONTEXTS).withColumns({"odds": odds, "gain": gain}).where((F.col("odds") >= LEAST_ODDS) & (F.col("gain") >= LEAST_GAIN))
-        rows = graded.orderBy(F.desc("gain"), "word").limit(LEXICON).collect()
+        rows = graded.collect()  # words of the sample
         words.unpersist()
         lexicon = {r["word"]: 1 + sum(r["odds"] >= g for g in GRADES) for r in rows}
 
@@ -243,13 +245,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
                     yield pa.RecordBatch.from_arrays([pa.array(list(grid)), pa.array(label.astype(np.int64))], names=["grades", "toxic"])
 
         found = sample.select("text", F.col("toxic").cast("long").alias("toxic")).mapInArrow(windows, "grades array<long>, toxic long")
-        kinds = found.groupBy("grades", "toxic").count().orderBy(F.desc("count"), "toxic", "grades").limit(WINDOWS).collect()
+        kinds = found.groupBy("grades", "toxic").count().orderBy("toxic", "grades").collect()  # kinds of windows in the sample
         grades = np.array([r["grades"] for r in kinds], np.int64)
-        weight = np.array([r["count"] for r in kinds], np.float64)
-        copies = np.maximum(1, np.round(np.sqrt(weight))).astype(int)
-        grades = np.repeat(grades, copies, 0)
-        toxic = np.repeat(np.array([r["toxic"] for r in kinds], np.int64), copies)
-        model = fit_field(grades, ((grades >= TOXIC_GRADE) & (toxic[:, None] == 1)).astype(np.int64))
+        toxic = np.array([r["toxic"] for r in kinds], np.int64)
+        model = fit_field(grades, ((grades >= TOXIC_GRADE) & (toxic[:, None] == 1)).astype(np.int64), np.sqrt([r["count"] for r in kinds]))
         model.lexicon = lexicon
 
         def features(batches):

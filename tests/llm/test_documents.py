@@ -301,6 +301,22 @@ def test_threshold_does_not_depend_on_the_sample(spark, monkeypatch):
         assert "snarf" in model.lexicon and all(r["score"] < 0.5 for r in toxicity.score(df, model).collect())
 
 
+def test_held_out_labels_do_not_reach_the_fit(spark):
+    rng = random.Random(13)
+    docs = [(i, " ".join(prose(rng, 40).split() + (["snarf"] * 2 if i % 3 == 0 else []))) for i in range(300)]
+    held = [i for i, _ in docs if __import__("zlib").crc32(str(i).encode()) % 5 == 0]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    fits = [toxicity.fit(df, spark.createDataFrame([(i, int((i % 3 == 0) != (flip and i in held))) for i, _ in docs], "doc_id long, toxic int")) for flip in (False, True)]
+    assert held and fits[0].lexicon == fits[1].lexicon and (fits[0].curve == fits[1].curve).all() and (fits[0].own == fits[1].own).all()
+
+
+def test_repeated_rows_are_fitted_once(spark):
+    rng = random.Random(14)
+    docs = [(i, prose(rng, 20)) for i in range(20)] * 3
+    sample = toxicity.fitting_sample(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int"))
+    assert sample.count() == sample.select("doc_id").distinct().count()
+
+
 # -- Jaccard join -------------------------------------------------------------------------------------------------------------------
 
 
@@ -394,6 +410,68 @@ def test_tree_prunes_only_what_cannot_be_alike():
 # -- pipeline ---------------------------------------------------------------------------------------------------------------------------
 
 
+def test_columns_that_clash_stay_as_they_are(spark):
+    from casebook.llm import packing
+
+    good = " ".join(f"word{i}" for i in range(80))
+    names = ["text", "source", "__c", "__rate", "host", "row", "counts", "head", "n", "__text", "clean", "kept"]
+    df = spark.createDataFrame([(k, good + f" {k} token=abcdef{k}" * k, "s", *[f"v{k}"] * 10) for k in (1, 2, 2)], "doc_id long, " + ", ".join(f"`{c}` string" for c in names))
+    for made in (quality.keep_good(df), jaccard_join.keep_heads(df), secrets.redacted(df)):
+        assert made.columns == df.columns and all(set(r[3:]) == {f"v{r['doc_id']}"} for r in made.collect())
+    assert "token" not in secrets.redacted(df).first()["text"] and jaccard_join.keep_heads(df.where("doc_id = 2")).count() == 1
+    pieces = spark.createDataFrame([(k, 5 + k, "a", "b", "c") for k in range(9)], "doc_id long, length long, shard string, rank string, before string")
+    packed = packing.best_fit(pieces, 16)
+    assert packed.columns == [*pieces.columns, "sequence_id", "offset"] and {tuple(r[2:5]) for r in packed.collect()} == {("a", "b", "c")}
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path, edge):
+    """Null, empty, long and repeated texts, a column called node: every stage keeps the columns and what it should; an empty table goes through."""
+    import corpus_pipeline
+
+    labels = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, toxic int")
+    for name, docs in (("odd", edge), ("none", edge.limit(0))):
+        sf = str(tmp_path / name)
+        docs.write.parquet(sf + "/documents.parquet")
+        labels.write.parquet(sf + "/labels.parquet")
+        now = spark.read.parquet(sf + "/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            assert stage(spark, now, sf).columns == docs.columns
+        kept = {r["doc_id"] for r in quality.keep_good(now).collect()}
+        packed = {r["doc_id"] for r in corpus_pipeline.run(spark, sf).collect()}
+        assert packed <= kept and bool(packed) == bool(kept)
+
+
+def test_pipeline_against_the_plain_rules(spark, tmp_path):
+    """The whole pipeline against plain versions of its stages on planted rows."""
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    rows = []
+    for i in range(60):
+        words = [f"{w}{rng.randrange(50)}" for w in prose(rng, 90).split()]
+        if i % 6 == 1:
+            words = rows[-1][1].split()[:90]  # near copy of the one before
+            words[40] = "changed"
+        if i % 10 == 7:
+            words = words[:30]  # too short
+        rows.append((i, " ".join(words) + (" key AKIA" + "A1" * 8 if i % 6 == 0 else ""), "en", "s", 0))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    sf = str(tmp_path)
+    df.write.parquet(sf + "/documents.parquet")
+    spark.createDataFrame([(1, 0)], "doc_id long, toxic int").write.parquet(sf + "/labels.parquet")
+    good = [(i, t) for i, t, *_ in rows if len(WORD.findall(t)) >= 50]
+    heads = {d for d, _, c in components(good) if d == c}
+    found = corpus_pipeline.run(spark, sf).collect()
+    assert {r["doc_id"] for r in found} == heads and len(heads) < len(good) < len(rows)
+    third = corpus_pipeline.STAGES[3][1](spark, df.where(F.col("doc_id").isin(*heads)), sf).collect()
+    want = {i: t.replace("AKIA" + "A1" * 8, "[SECRET]") for i, t in good if i in heads}
+    assert {r["doc_id"]: r["text"] for r in third} == want
+    full = {}
+    for r in found:
+        full[r["sequence_id"]] = full.get(r["sequence_id"], 0) + r["length"]
+    assert max(full.values()) <= 2048 and len(full) <= -(-sum(full.values()) // 2048) + 1
+
+
 def test_pipeline_stages(spark, sf_dir):
     import corpus_pipeline
 
