@@ -19,6 +19,8 @@ KINDS = ("assign", "access", "hex", "entropy")
 ASSIGN = r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))"""
 ACCESS, HEX = r"(AKIA[A-Z0-9]{16,})", r"([0-9a-f]{24,})"
 ASSIGN_LEAST = 6
+#: Texts of more characters are scanned in blocks of so many lines.
+LONG, LINES = 65_536, 256
 
 CANDIDATE, WINDOW = r"([A-Za-z0-9+/_=-]{20,})", 20
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
@@ -111,12 +113,27 @@ def _outside(c: Column, cuts: Column) -> Column:
     return F.aggregate(inside, zero, step, lambda a: F.when(c["end"] - a["at"] >= WINDOW, F.concat(a["out"], stretch(a["at"], c["end"]))).otherwise(a["out"]))
 
 
+def blocks_of(text: Column) -> Column:
+    """Array of a text's blocks of LINES lines, the whole text if it isn't long: joined by line breaks they are the text again.
+
+    No form and no candidate reaches over a line break, so blocks are scanned each by itself and the work grows with a text's length alone."""
+    lines = lambda x: F.transform(F.sequence(F.lit(0), F.size(x) - 1, F.lit(LINES)), lambda i: F.array_join(F.slice(x, i + 1, F.lit(LINES)), "\n"))
+    return F.when(F.length(text) > LONG, let(F.split(text, "\n"), lines)).otherwise(F.array(text))
+
+
 def spans(text: Column) -> Column:
     """All spans of a text, by start and then kind: array of (start, kind, end), kind an index of KINDS.
 
     Offsets count code points, ends are exclusive; a null text counts as empty.  Of a candidate, the stretches of WINDOW characters or more outside other spans
     and outside parts between marks that hold a harmless word are scanned, each by itself."""
-    text = F.coalesce(text.cast("string"), F.lit(""))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    step = lambda a, b: F.struct((a["at"] + F.length(b) + 1).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
+    moved = lambda b, base: F.transform(_spans_in(b), lambda s: F.struct((s["start"] + base).alias("start"), s["kind"].alias("kind"), (s["end"] + base).alias("end")))
+    return let(blocks_of(F.coalesce(text.cast("string"), F.lit(""))), lambda bs: F.flatten(F.zip_with(bs, F.aggregate(bs, zero, step, lambda a: a["out"]), moved)))
+
+
+def _spans_in(text: Column) -> Column:
+    """spans() of one block."""
     tag = lambda places, kind: F.transform(places, lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), x["end"].alias("end")))
     base = F.concat(tag(_places(text, ASSIGN, ASSIGN_LEAST), "assign"), tag(_places(text, ACCESS), "access"), tag(_places(text, HEX), "hex"))
 
@@ -137,22 +154,26 @@ def scan(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", spans(F.col("text")).alias("spans"))
 
 
-def redact(text: Column, found: Column, mark: str = "[SECRET]") -> Column:
-    """The text with each run of touching spans replaced by a mark."""
+def redact(text: Column, mark: str = "[SECRET]") -> Column:
+    """The text with each run of touching spans replaced by a mark; null stays null."""
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(a: Column, s: Column) -> Column:
-        fresh = s["start"] >= a["at"]
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(fresh, F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit(mark))).otherwise(a["out"]).alias("out"))
+    def block(b: Column, found: Column) -> Column:
+        def step(a: Column, s: Column) -> Column:
+            fresh = s["start"] >= a["at"]
+            return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(fresh, F.concat(a["out"], F.substring(b, a["at"] + 1, s["start"] - a["at"]), F.lit(mark))).otherwise(a["out"]).alias("out"))
+
+        return F.when(F.size(found) > 0, F.aggregate(found, zero, step, lambda a: F.concat(a["out"], F.substring(b, a["at"] + 1, F.length(b))))).otherwise(b)
 
-    return F.when(F.size(found) > 0, F.aggregate(found, zero, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))).otherwise(text)
+    clean = F.array_join(F.transform(blocks_of(text.cast("string")), lambda b: let(_spans_in(b), lambda found: block(b, found))), "\n")
+    return F.when(text.isNotNull(), clean)
 
 
 def redacted(docs: DataFrame) -> DataFrame:
     """Rows of `docs` with the text redacted, and n_chars, if there, counted anew where the text has changed.
 
     One row for each row, other columns as they are, whatever they are called; a null text stays null, an empty table stays empty.  Equal texts are redacted alike."""
-    made = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), redact(F.col("text"), spans(F.col("text"))).alias("clean"))
+    made = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), redact(F.col("text")).alias("clean"))
     new = {"text": F.col("clean")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.col("clean") == F.col("row.text"), F.col("row.n_chars")).otherwise(F.length("clean").cast(docs.schema["n_chars"].dataType))

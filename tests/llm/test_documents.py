@@ -156,6 +156,22 @@ def test_entropy_beside_other_spans_and_words(spark):
     assert all(key[4:-4] not in t for t in found) and found[5] == texts[5] and found[4] == found[6] == "[SECRET]"
 
 
+def test_long_texts_in_blocks(spark, monkeypatch):
+    rng = random.Random(15)
+    key = "q9Zr4TtY7xKp2WvLm8NcB3sD"
+    lines = [rng.choice(["", "plain words", "token=abcdef12", f"see {key} 😀", "AKIA" + "A1" * 8, "é " + "0a" * 12]) for _ in range(900)]
+    text = "\n".join(lines)
+    df = spark.createDataFrame([(1, text), (2, None), (3, "\n" * 5)], "doc_id long, text string")
+    whole = {r["doc_id"]: ([tuple(s) for s in r["spans"]]) for r in secrets.scan(df).collect()}
+    monkeypatch.setattr(secrets, "LONG", 100)
+    monkeypatch.setattr(secrets, "LINES", 7)
+    found = {r["doc_id"]: ([tuple(s) for s in r["spans"]]) for r in secrets.scan(df).collect()}
+    assert found == whole and [s for s in found[1] if s[1] < 3] == base_spans(text) and any(s[1] == 3 for s in found[1])
+    monkeypatch.setattr(secrets, "LONG", 2)
+    clean = {r["doc_id"]: r["text"] for r in secrets.redacted(df).collect()}
+    assert key not in clean[1] and clean[1].count("\n") == text.count("\n") and clean[1].count("[SECRET]") == sum(1 for x in lines if x not in ("", "plain words")) and clean[2] is None and clean[3] == "\n" * 5
+
+
 def test_redaction(spark, edge, none):
     df = spark.createDataFrame([(1, "a password=hunter22 b " + "0a" * 12, 5), (2, None, 0), (3, "fine", 4)], "doc_id long, text string, n_chars int")
     found = {r["doc_id"]: r for r in secrets.redacted(df).collect()}
@@ -428,17 +444,23 @@ def test_pipeline_on_odd_rows(spark, tmp_path, edge):
     """Null, empty, long and repeated texts, a column called node: every stage keeps the columns and what it should; an empty table goes through."""
     import corpus_pipeline
 
-    labels = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, toxic int")
-    for name, docs in (("odd", edge), ("none", edge.limit(0))):
-        sf = str(tmp_path / name)
-        docs.write.parquet(sf + "/documents.parquet")
-        labels.write.parquet(sf + "/labels.parquet")
-        now = spark.read.parquet(sf + "/documents.parquet")
-        for _, stage in corpus_pipeline.STAGES[:-1]:
-            assert stage(spark, now, sf).columns == docs.columns
-        kept = {r["doc_id"] for r in quality.keep_good(now).collect()}
-        packed = {r["doc_id"] for r in corpus_pipeline.run(spark, sf).collect()}
-        assert packed <= kept and bool(packed) == bool(kept)
+    sf = str(tmp_path)
+    spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, toxic int").write.parquet(sf + "/labels.parquet")
+    rng = random.Random(16)
+    words = lambda n: " ".join(f"{w}{rng.randrange(999)}" for w in prose(rng, n).split())
+    one, long, unnamed = words(80), words(20_000), words(90)
+    good = [(20, one, None, None, 0, "clash"), (20, one, None, None, 0, "clash"), (21, long, "en", "s", 5, None), (None, unnamed, "en", "s", None, "x")]
+    now, kept = edge.union(spark.createDataFrame(good, edge.schema)), None
+    for name, stage in corpus_pipeline.STAGES:
+        made = stage(spark, now, sf)
+        assert made.columns == edge.columns or name == "best-fit packing"
+        made.write.parquet(f"{sf}/{name}")
+        now = spark.read.parquet(f"{sf}/{name}")
+        kept = kept or {r["doc_id"] for r in now.collect()}
+    packed = now.collect()
+    assert kept == {20, 21, None} == {r["doc_id"] for r in packed} and sum(r["doc_id"] == 20 for r in packed) == 1 and sum(r["doc_id"] == 21 for r in packed) > 5
+    edge.limit(0).write.parquet(sf + "/documents.parquet")
+    assert corpus_pipeline.run(spark, sf).count() == 0
 
 
 def test_pipeline_against_the_plain_rules(spark, tmp_path):
