@@ -382,6 +382,7 @@ def test_join_edge_rows(spark, edge, none, edge_rows):
 
 def test_blocks_bound_a_family_of_copies(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK", 16 * 5)
+    monkeypatch.setattr(jaccard_join, "LEAST", 1)
     nodes = list(range(200)) + [900, 901, 902]
     groups = spark.createDataFrame([(1, n, 0) for n in nodes], "gid long, node long, head long")
     comps = spark.createDataFrame([(n, 0) for n in range(200)], "node long, component long")
@@ -396,6 +397,8 @@ def test_blocks_bound_a_family_of_copies(spark, monkeypatch):
 
 def test_copies_that_do_not_fit_in_a_block(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK", 150)
+    monkeypatch.setattr(jaccard_join, "LEAST", 1)
+    monkeypatch.setattr(jaccard_join, "CLUSTER_BITS", 1 << 12)
     rng = random.Random(3)
     words = prose(rng, 60).split()
     rows = [(i, " ".join(rng.choice("xyz") + w if rng.random() < 0.03 else w for w in words)) for i in range(60)]
