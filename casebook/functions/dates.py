@@ -32,9 +32,9 @@ def date_similarity(a: Column, b: Column, reach: int = 14) -> Column:
 
 
 def attack_date(text: Column) -> Column:
-    """The first valid date: ISO first, then day/month/year, then month/day/year."""
+    """The first valid date: ISO first, then day/month/year or day-month-year, then month/day/year."""
     iso = F.transform(F.regexp_extract_all(text, F.lit(r"\b(\d{4}-\d{1,2}-\d{1,2})\b"), 1), lambda d: F.try_to_date(d, "yyyy-M-d"))
-    other = F.regexp_extract_all(text, F.lit(r"\b(\d{1,2}/\d{1,2}/\d{4})\b"), 1)
+    other = F.transform(F.regexp_extract_all(text, F.lit(r"\b(\d{1,2}[/-]\d{1,2}[/-]\d{4})\b"), 1), lambda d: F.replace(d, F.lit("-"), F.lit("/")))
     both = F.transform(other, lambda d: F.coalesce(F.try_to_date(d, "d/M/yyyy"), F.try_to_date(d, "M/d/yyyy")))
     return F.get(F.array_compact(F.concat(iso, both)), F.lit(0))
 

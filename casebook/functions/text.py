@@ -51,12 +51,12 @@ def _escaped(word: str) -> str:
 
 
 def keyword_pattern(keyword: str) -> str:
-    """A pattern for a keyword as a whole word, regular endings allowed; a side that is no letter or digit has no boundary."""
+    """A pattern for a keyword as a whole word among Latin letters and digits, regular endings allowed; a side that is no letter or digit of any script has no boundary."""
     word = keyword.lower()
     # fixed value: the endings
-    ends = r"(?:e?s|e?d|ing)?" if word[-1:].isascii() and word[-1:].isalpha() else ""
-    left = r"(?:^|[^a-z0-9])" if word[:1].isascii() and word[:1].isalnum() else ""
-    right = r"(?:$|[^a-z0-9])" if word[-1:].isascii() and word[-1:].isalnum() else ""
+    ends = r"(?:e?s|e?d|ing)?" if word[-1:].isalnum() else ""
+    left = r"(?:^|[^a-z0-9])" if word[:1].isalnum() else ""
+    right = r"(?:$|[^a-z0-9])" if word[-1:].isalnum() else ""
     return f"{left}{_escaped(word)}{ends}{right}"
 
 

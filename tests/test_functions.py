@@ -28,7 +28,7 @@ def test_tokenize(spark, given):
     assert one(spark, text.tokenize(F.col("a")), a=given) == want
 
 
-@pytest.mark.parametrize(("word", "given", "hit"), [("phish", "they phished us", True), ("phish", "a phisherman", False), ("ddos", "ddos!", True), ("c++", "uses c++ here", True), ("ransomware", "preransomware", False)])
+@pytest.mark.parametrize(("word", "given", "hit"), [("phish", "they phished us", True), ("phish", "a phisherman", False), ("ddos", "ddos!", True), ("c++", "uses c++ here", True), ("ransomware", "preransomware", False), ("cve-", "a cve-2024", True), ("c2", "two c2s seen", True), ("c2", "c27", False), ("攻撃", "大攻撃者", True), ("攻撃", "a攻撃", False)])
 def test_keyword_pattern(spark, word, given, hit):
     assert bool(re.search(text.keyword_pattern(word), given)) is hit
     assert one(spark, F.size(text.find_keywords(F.col("a"), [word])), a=given) == int(hit)
@@ -99,5 +99,6 @@ def test_dates(spark):
     assert one(spark, dates.parse_iso(F.col("a")), a="soon") is None
     assert str(one(spark, dates.parse_rfc2822(F.col("a")), a="Wed, 01 May 2024 10:00:00 +0200")) == "2024-05-01 08:00:00"
     assert str(one(spark, dates.attack_date(F.col("a")), a="on 2024-13-40 or 31/12/2023")) == "2023-12-31"
+    assert str(one(spark, dates.attack_date(F.col("a")), a="on 13-02-2025 or so")) == "2025-02-13"
     gap = dates.day_gap(F.lit("2024-01-01 00:00:00").cast("timestamp"), F.lit("2024-01-02 12:00:00").cast("timestamp"))
     assert one(spark, gap, a="x") == -2
