@@ -88,13 +88,13 @@ def top_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH d AS (SELECT user_id, (ts + INTERVAL 7 HOUR)::DATE AS day FROM events), n AS (SELECT user_id, day, count(*) AS n FROM d GROUP BY ALL),
 r AS (SELECT *, day - row_number() OVER (PARTITION BY user_id ORDER BY day)::INT AS run FROM n)
-SELECT user_id, min(day) AS first_day, max(day) AS last_day, count(*) AS days, sum(n)::BIGINT AS events FROM r GROUP BY user_id, run""")
+SELECT user_id, min(day)::VARCHAR AS first_day, max(day)::VARCHAR AS last_day, count(*) AS days, sum(n)::BIGINT AS events FROM r GROUP BY user_id, run""")
 def day_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of consecutive local days with events of each user (W-09, F-34); events are counted by day before they meet."""
     day = F.to_date(F.from_utc_timestamp(F.col("ts").cast("timestamp"), "Asia/Jakarta"))
     counts = load(spark, sf_dir, "events").groupBy("user_id", day.alias("day")).agg(F.count("*").alias("n"))
     run = F.date_sub("day", F.row_number().over(Window.partitionBy("user_id").orderBy("day")))
-    return counts.withColumn("run", run).groupBy("user_id", "run").agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.count("*").alias("days"), F.sum("n").alias("events")).drop("run")
+    return counts.withColumn("run", run).groupBy("user_id", "run").agg(F.min("day").cast("string").alias("first_day"), F.max("day").cast("string").alias("last_day"), F.count("*").alias("days"), F.sum("n").alias("events")).drop("run")
 
 
 @query(f"""WITH {_ARTICLES}, a AS (SELECT incident, min(id) AS anchor, arg_min(tm, (id, tm)) AS tm FROM art GROUP BY 1), g AS (SELECT art.incident, art.id, anchor, round(abs(epoch(art.tm) - epoch(a.tm)) / 86400, 4) AS gap FROM art JOIN a USING (incident)),

@@ -27,7 +27,7 @@ def domain_countries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""WITH w AS (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), ' ') AS w FROM documents), n AS (SELECT doc_id,
 len(list_intersect(list_distinct(w), string_split('dan yang dari dengan untuk serangan siber keamanan peretas ini itu akan telah', ' '))) AS i, len(list_intersect(list_distinct(w), string_split('the and of with cyber security attack hackers this that from', ' '))) AS e FROM w)
-SELECT doc_id, CASE WHEN i > e THEN 'id' WHEN e > i THEN 'en' ELSE 'unknown' END AS language, CASE WHEN i = e THEN 0.3 ELSE 0.6 END AS confidence FROM n""")
+SELECT doc_id, CASE WHEN i > e THEN 'id' WHEN e > i THEN 'en' ELSE 'unknown' END AS language, (CASE WHEN i = e THEN 0.3 ELSE 0.6 END)::DOUBLE AS confidence FROM n""")
 def language_guesses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every text by common words (F-20, X-11)."""
     language, confidence = text.guess_language(F.col("text"))
@@ -48,8 +48,8 @@ def text_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.array_join(text.split_values(F.when(k % 2 == 0, "red, Blue ;N/A|red").otherwise(" red;-")), ",").alias("parts"), text.unknown_to_null(_pick(k, " N/A ", "x", "x", "x")).alias("known"), ids.salted_hash("salt", s(F.col("o_custkey"))).alias("visitor"))
 
 
-@query("""SELECT o_orderkey AS k, o_orderdate AS iso, o_orderdate::DATE AS mail_day, floor((epoch(o_orderdate) - epoch(TIMESTAMP '1995-06-15 12:00:00')) / 86400)::BIGINT AS gap, abs(epoch(o_orderdate) - epoch(TIMESTAMP '1995-06-15 12:00:00')) / 3600 AS hours,
-round(greatest(0.0, 1 - abs(epoch(o_orderdate) - epoch(o_orderdate + to_hours((o_orderkey % 400)::BIGINT))) / 86400 / 14), 6) AS likeness, CASE o_orderkey % 3 WHEN 0 THEN o_orderdate::DATE WHEN 1 THEN make_date(2024, 2, 25) END AS attack FROM orders""")
+@query("""SELECT o_orderkey AS k, o_orderdate AS iso, o_orderdate::DATE::VARCHAR AS mail_day, floor((epoch(o_orderdate) - epoch(TIMESTAMP '1995-06-15 12:00:00')) / 86400)::BIGINT AS gap, abs(epoch(o_orderdate) - epoch(TIMESTAMP '1995-06-15 12:00:00')) / 3600 AS hours,
+round(greatest(0.0, 1 - abs(epoch(o_orderdate) - epoch(o_orderdate + to_hours((o_orderkey % 400)::BIGINT))) / 86400 / 14), 6) AS likeness, (CASE o_orderkey % 3 WHEN 0 THEN o_orderdate::DATE WHEN 1 THEN make_date(2024, 2, 25) END)::VARCHAR AS attack FROM orders""")
 def date_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dates parsed, compared and found in texts (F-27 to F-31, F-35)."""
     k, d = F.col("o_orderkey"), F.col("o_orderdate").cast("timestamp")
@@ -57,8 +57,8 @@ def date_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     then = F.lit("1995-06-15 12:00:00").cast("timestamp")
     later = F.timestamp_seconds(F.unix_timestamp(d) + (k % 400) * 3600)
     said = F.when(k % 3 == 0, F.concat(F.lit("on 2024-13-40, then "), F.date_format(d, "yyyy-M-d"))).when(k % 3 == 1, "hit 2/25/2024 and 1/1/2024").otherwise("no day")
-    return load(spark, sf_dir, "orders").select(k.alias("k"), dates.parse_iso(iso).cast("timestamp_ntz").alias("iso"), F.to_date(dates.parse_rfc2822(F.date_format(d, "EEE, d MMM yyyy HH:mm:ss Z"))).alias("mail_day"),
-                                                dates.day_gap(d, then).alias("gap"), dates.hours_between(d, then).cast("double").alias("hours"), F.round(dates.date_similarity(d, later), 6).alias("likeness"), dates.attack_date(said).alias("attack"))
+    return load(spark, sf_dir, "orders").select(k.alias("k"), dates.parse_iso(iso).cast("timestamp_ntz").alias("iso"), F.to_date(dates.parse_rfc2822(F.date_format(d, "EEE, d MMM yyyy HH:mm:ss Z"))).cast("string").alias("mail_day"),
+                                                dates.day_gap(d, then).alias("gap"), dates.hours_between(d, then).cast("double").alias("hours"), F.round(dates.date_similarity(d, later), 6).alias("likeness"), dates.attack_date(said).cast("string").alias("attack"))
 
 
 @query("""SELECT o_orderkey AS k, 'CVE-2024-' || (1000 + o_orderkey % 500) || ',' || md5(o_orderkey::VARCHAR) || CASE WHEN o_orderkey % 2 = 0 THEN ',' || sha256(o_orderkey::VARCHAR) ELSE '' END AS found FROM orders""")
@@ -98,7 +98,7 @@ def part_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), relevance.categories(name, {"jewels": ["ring"], "age": ["old"]}).alias("category"), kind.alias("kind"))
 
 
-@query("""SELECT o_orderkey AS k, CASE o_orderkey % 4 WHEN 0 THEN 'Acme Bank' WHEN 1 THEN 'North Hospital' WHEN 2 THEN 'Delta Air' END AS organisation, CASE o_orderkey % 4 WHEN 0 THEN 0.9 WHEN 1 THEN 0.8 WHEN 2 THEN 0.6 END AS confidence,
+@query("""SELECT o_orderkey AS k, CASE o_orderkey % 4 WHEN 0 THEN 'Acme Bank' WHEN 1 THEN 'North Hospital' WHEN 2 THEN 'Delta Air' END AS organisation, (CASE o_orderkey % 4 WHEN 0 THEN 0.9 WHEN 1 THEN 0.8 WHEN 2 THEN 0.6 END)::DOUBLE AS confidence,
 CASE WHEN o_orderkey % 2 = 0 THEN 'Night Fox|Red Door' ELSE '' END AS actors, round((CASE WHEN o_orderkey % 4 < 3 THEN 1 ELSE 0 END + 1) / 3, 6) AS known, CASE WHEN o_orderkey % 3 = 0 THEN 'Later' ELSE 'First' END AS filled FROM orders""")
 def extraction_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Organisations and actors from headline, summary and body in tiers, with confidences and filled gaps (T-05 to T-09)."""
@@ -139,14 +139,14 @@ def cluster_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH k AS (SELECT n_name AS keyword, CASE WHEN n_nationkey % 4 = 0 THEN 'site:' || n_name || '.com' ELSE '"' || n_name || '"' END AS q FROM nation), l AS (SELECT unnest(['en', 'id']) AS language),
 p AS (SELECT DATE '2024-01-01' + 30 * i::INT AS start FROM range(0, 4) t(i) WHERE DATE '2024-01-01' + 30 * (i + 1)::INT <= DATE '2024-05-05')
-SELECT keyword, language, start, 'https://feed.example/search?q=' || replace(url_encode(q || ' after:' || start || ' before:' || (start + 30)), '%20', '+') || CASE language WHEN 'en' THEN '&hl=en-US&gl=US&ceid=US:en' ELSE '&hl=id&gl=ID&ceid=ID:id' END AS url FROM k, l, p""")
+SELECT keyword, language, start::VARCHAR AS start, 'https://feed.example/search?q=' || replace(url_encode(q || ' after:' || start || ' before:' || (start + 30)), '%20', '+') || CASE language WHEN 'en' THEN '&hl=en-US&gl=US&ceid=US:en' ELSE '&hl=id&gl=ID&ceid=ID:id' END AS url FROM k, l, p""")
 def search_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feed addresses for every keyword, language and full period (S-01, S-03, S-04)."""
     words = load(spark, sf_dir, "nation").select(F.when(F.col("n_nationkey") % 4 == 0, F.concat(F.lit("site:"), "n_name", F.lit(".com"))).otherwise(F.col("n_name")).alias("word"), F.col("n_name").alias("keyword"))
     spans = tables.periods(spark, "2024-01-01", "2024-05-05").withColumn("j", F.lit(1))
     rows = tables.tasks(words, ["en", "id"]).withColumn("j", F.lit(1)).join(spans, "j")
     url = tables.search_url(F.col("word"), F.col("language"), F.col("start"), F.col("end"), {"en": ("en-US", "US", "US:en"), "id": ("id", "ID", "ID:id")}, "https://feed.example/search")
-    return rows.select("keyword", "language", "start", url.alias("url"))
+    return rows.select("keyword", "language", F.col("start").cast("string").alias("start"), url.alias("url"))
 
 
 @query("""WITH r AS (SELECT o_orderkey AS id, o_orderdate AS published, CASE WHEN o_orderkey % 4 = 0 THEN 'timeout' WHEN o_orderkey % 4 = 1 THEN 'blocked' WHEN o_orderkey % 4 = 2 THEN 'empty' ELSE 'ok' END AS status FROM orders) SELECT status, count(*) AS n, max(CASE status WHEN 'ok' THEN 300 END) AS longest FROM r GROUP BY status""")
