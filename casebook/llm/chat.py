@@ -52,7 +52,7 @@ def _marks(role: Column) -> tuple[Column, Column]:
 
 
 def role_of(opening: Column) -> Column:
-    inner = unescape(F.replace(F.regexp_extract(opening, r"^\[ROLE:(.*)\]$", 1), F.lit("\\3"), F.lit("]")))
+    inner = unescape(F.replace(F.regexp_extract(opening, r"(?s)^\[ROLE:(.*)\]$", 1), F.lit("\\3"), F.lit("]")))
     return F.when(opening == "[SYS]", "system").when(opening == "[INST]", "user").when(opening == "<s>", "assistant").otherwise(inner)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,10 +83,14 @@ def range_buckets(df: DataFrame, key: str, buckets: int) -> list[int]:
 def bucket_of(key: Column, cuts: list[int]) -> Column:
     """How many cuts are <= key, so buckets ascend with the key; a null key belongs to bucket 0.
 
-    A binary search whose steps halve, over an array that is part of the plan."""
+    The cuts travel with the function, as one sorted array, so the plan is the same for ten ranges and for a million."""
     if not cuts:
         return F.lit(0)
-    table = F.array(*[F.lit(c).cast("long") for c in cuts])
-    steps = F.array(*[F.lit(1 << k) for k in range(len(cuts).bit_length() - 1, -1, -1)])
-    found = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(table, at + step - 1) <= key, at + step).otherwise(at))
-    return F.coalesce(found, F.lit(0))
+    table = np.array(cuts, np.int64)
+
+    @F.arrow_udf("int")
+    def bucket(keys: pa.Array) -> pa.Array:
+        found = np.searchsorted(table, np.asarray(keys.fill_null(0)), side="right").astype(np.int32)
+        return pa.array(np.where(np.asarray(keys.is_null()), 0, found), pa.int32())
+
+    return bucket(key.cast("long"))

@@ -19,7 +19,7 @@ FEWEST_WORDS, MOST_REPEATED, MOST_SYMBOLS, MOST_DUP_LINES, WORD_LENGTH = 50, 50,
 BAD_HOST, SOFT_LIMIT = 0.5, 2
 #: Host tables of at most so many rows are broadcast; larger ones are joined by shuffle.
 BROADCAST_HOSTS = 100_000
-#: Words up to which positions are packed under window hashes.
+#: Words up to which positions are packed under window hashes, to find the few places that can be repeats.
 PACKED = 1 << 20
 #: Weight of the prior in documents, least and most.
 PRIOR = (1.0, 1_000_000.0)
@@ -29,8 +29,8 @@ def repeated_words(words: Column) -> Column:
     """How many words lie in a window of three words that the array holds more than once.
 
     Windows are hashed; for the few arrays in which hashes repeat, positions are packed under the hashes and sorted, so that equal windows
-    are neighbours.  The position takes as many bits of the hash as the array's size has: up to a million words the rest tells windows apart; in far longer
-    arrays the positions stand beside whole hashes."""
+    are neighbours.  The position takes as many bits of the hash as the array's size has, so what the rest finds is compared anew by whole hashes; arrays far longer than
+    PACKED go to that comparison at once."""
     call = F.call_function
 
     def covered(hashes: Column) -> Column:
@@ -40,7 +40,8 @@ def repeated_words(words: Column) -> Column:
 
         def places(s: Column) -> Column:
             same = F.filter(s, lambda v, i: (high(v) == high(F.get(s, i - 1))) | (high(v) == high(F.get(s, i + 1))))
-            return F.sort_array(F.transform(same, lambda v: v - call("shiftleft", high(v), bits)))
+            spots = F.transform(same, lambda v: (v - call("shiftleft", high(v), bits)).cast("int"))
+            return let(F.array_sort(F.transform(spots, lambda p: F.struct(F.get(hashes, p).alias("h"), p.cast("long").alias("i")))), beside)
 
         def beside(s: Column) -> Column:
             same = F.filter(s, lambda v, i: (v["h"] == F.get(s, i - 1)["h"]) | (v["h"] == F.get(s, i + 1)["h"]))

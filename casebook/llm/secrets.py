@@ -19,8 +19,11 @@ KINDS = ("assign", "access", "hex", "entropy")
 ASSIGN = r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))"""
 ACCESS, HEX = r"(AKIA[A-Z0-9]{16,})", r"([0-9a-f]{24,})"
 ASSIGN_LEAST = 6
-#: Texts of more characters are scanned in blocks of so many lines.
-LONG, LINES = 65_536, 256
+#: Texts of more characters are scanned in blocks of so many pieces.
+LONG, PIECES = 65_536, 1024
+#: After these places a long text may be cut: a character that no form and no candidate holds, or a single space that isn't beside a colon or an equals sign, which alone may
+#: have spaces around them inside a form.
+CUT = r"""(?<=[^A-Za-z0-9+/_.=\-"':\x20])|(?<=[^:=\x20]\x20)(?![:=\x20])"""
 
 CANDIDATE, WINDOW = r"([A-Za-z0-9+/_=-]{20,})", 20
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
@@ -114,11 +117,12 @@ def _outside(c: Column, cuts: Column) -> Column:
 
 
 def blocks_of(text: Column) -> Column:
-    """Array of a text's blocks of LINES lines, the whole text if it isn't long: joined by line breaks they are the text again.
+    """Array of a text's blocks of PIECES pieces, the whole text if it isn't long: end to end they are the text again.
 
-    No form and no candidate reaches over a line break, so blocks are scanned each by itself and the work grows with a text's length alone."""
-    lines = lambda x: F.transform(F.sequence(F.lit(0), F.size(x) - 1, F.lit(LINES)), lambda i: F.array_join(F.slice(x, i + 1, F.lit(LINES)), "\n"))
-    return F.when(F.length(text) > LONG, let(F.split(text, "\n"), lines)).otherwise(F.array(text))
+    No form and no candidate reaches over a cut, in one line or many, so blocks are scanned each by itself and the work grows with a text's length alone.  Only a stretch
+    without any cut stays whole."""
+    pieces = lambda x: F.transform(F.sequence(F.lit(0), F.size(x) - 1, F.lit(PIECES)), lambda i: F.array_join(F.slice(x, i + 1, F.lit(PIECES)), ""))
+    return F.when(F.length(text) > LONG, let(F.split(text, CUT), pieces)).otherwise(F.array(text))
 
 
 def spans(text: Column) -> Column:
@@ -127,7 +131,7 @@ def spans(text: Column) -> Column:
     Offsets count code points, ends are exclusive; a null text counts as empty.  Of a candidate, the stretches of WINDOW characters or more outside other spans
     and outside parts between marks that hold a harmless word are scanned, each by itself."""
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    step = lambda a, b: F.struct((a["at"] + F.length(b) + 1).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
+    step = lambda a, b: F.struct((a["at"] + F.length(b)).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
     moved = lambda b, base: F.transform(_spans_in(b), lambda s: F.struct((s["start"] + base).alias("start"), s["kind"].alias("kind"), (s["end"] + base).alias("end")))
     return let(blocks_of(F.coalesce(text.cast("string"), F.lit(""))), lambda bs: F.flatten(F.zip_with(bs, F.aggregate(bs, zero, step, lambda a: a["out"]), moved)))
 
@@ -165,7 +169,7 @@ def redact(text: Column, mark: str = "[SECRET]") -> Column:
 
         return F.when(F.size(found) > 0, F.aggregate(found, zero, step, lambda a: F.concat(a["out"], F.substring(b, a["at"] + 1, F.length(b))))).otherwise(b)
 
-    clean = F.array_join(F.transform(blocks_of(text.cast("string")), lambda b: let(_spans_in(b), lambda found: block(b, found))), "\n")
+    clean = F.array_join(F.transform(blocks_of(text.cast("string")), lambda b: let(_spans_in(b), lambda found: block(b, found))), "")
     return F.when(text.isNotNull(), clean)
 
 

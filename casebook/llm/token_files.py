@@ -29,6 +29,10 @@ MAGIC, HEAD = b"PFR1", struct.Struct("<4sIIII")
 BLOCK, PERCENTILE = 1024, 98.0
 #: Ids after which a file ends at the next document.
 FILE_IDS = 8_000_000
+#: Stands for a null doc_id in files, and reads back as null.
+NO_ID = -(1 << 63)
+#: Files a block of the prefix sums over the manifest.
+FILE_BLOCK = 4096
 
 
 def pack_ids(doc_ids: np.ndarray, sizes: np.ndarray, ids: np.ndarray, block: int = BLOCK, percentile: float = PERCENTILE) -> bytes:
@@ -137,9 +141,9 @@ class TokenFile:
 def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, path: str) -> DataFrame:
     """Writes (doc_id, text) under `path`, a shared folder; returns the manifest: file, n_docs, n_ids, before.
 
-    A null text counts as empty; each document ends with end_id.  Rows with a null doc_id come first, as
-    doc_id -1 < 0 would; rows with the same doc_id stay side by side.  A retried task writes the same file again."""
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), F.col("text").cast("string"))
+    A null text counts as empty; each document ends with end_id.  Rows with a null doc_id come first, as NO_ID; rows with
+    the same doc_id stay side by side.  A retried task writes the same file again."""
+    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string"))
     ranges, tasks = text_ranges(own)
     cuts = range_buckets(own, "doc_id", ranges)
     parts = max(-(-(len(cuts) + 1) // 4), tasks)
@@ -183,7 +187,11 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, path: str)
 
     written = ordered.select("file", "doc_id", "text").mapInArrow(store, "file long, n_docs long, n_ids long")
     manifest = materialize(written, "manifest")
-    return manifest.withColumn("before", F.coalesce(F.sum("n_ids").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    blocked = manifest.withColumn("block", F.expr(f"shiftright(file, 20) div {FILE_BLOCK}"))
+    inside = F.sum("n_ids").over(Window.partitionBy("block").orderBy("file")) - F.col("n_ids")
+    blocks = blocked.groupBy("block").agg(F.sum("n_ids").alias("sum"))
+    base = blocks.select("block", (F.sum("sum").over(Window.orderBy("block")) - F.col("sum")).alias("base"))
+    return blocked.withColumn("inside", inside).join(base, "block").select("file", "n_docs", "n_ids", (F.col("base") + F.col("inside")).alias("before"))
 
 
 def read_token_files(manifest: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
@@ -198,7 +206,7 @@ def read_token_files(manifest: DataFrame, path: str, with_ids: bool = False) ->
                     found = TokenFile(raw.read())
                 rows = []
                 for doc, first, ids in found.documents():
-                    rows.append((doc, before + first, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), *([ids.tolist()] if with_ids else [])))
+                    rows.append((doc if doc != NO_ID else None, before + first, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), *([ids.tolist()] if with_ids else [])))
                     if len(rows) == 2000:
                         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(zip(*rows), kinds)], names=[k for k, _ in kinds])
                         rows = []
@@ -214,7 +222,7 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents written to token files and read back: one row for each row.
 
     A null or empty text has the end id alone; a text of any length lies in one file; rows that share a doc_id lie side by side in the order of their texts' hashes;
-    a null doc_id comes first and reads back as -1; other columns don't matter.  An empty table gives an empty table."""
+    a null doc_id comes first and reads back as null; other columns don't matter.  An empty table gives an empty table."""
     import public_tokenizers as vocabularies
 
     path = fresh_path(spark, "tokens")

@@ -164,7 +164,7 @@ def test_long_texts_in_blocks(spark, monkeypatch):
     df = spark.createDataFrame([(1, text), (2, None), (3, "\n" * 5)], "doc_id long, text string")
     whole = {r["doc_id"]: ([tuple(s) for s in r["spans"]]) for r in secrets.scan(df).collect()}
     monkeypatch.setattr(secrets, "LONG", 100)
-    monkeypatch.setattr(secrets, "LINES", 7)
+    monkeypatch.setattr(secrets, "PIECES", 7)
     found = {r["doc_id"]: ([tuple(s) for s in r["spans"]]) for r in secrets.scan(df).collect()}
     assert found == whole and [s for s in found[1] if s[1] < 3] == base_spans(text) and any(s[1] == 3 for s in found[1])
     monkeypatch.setattr(secrets, "LONG", 2)
