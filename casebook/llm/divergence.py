@@ -1,15 +1,18 @@
 """How far a language's sources differ in the terms they use, by chunk factorization.
 
-A block of documents is read as counts of its white-space chunks: its distinct chunks, and for each document their codes and
-counts.  The distinct chunks of all blocks are made distinct once more, and each is cut into terms once, however many documents hold it.
-A block gets the terms of its own chunks back by a join, so that a chunk that stands everywhere gives one row a block and not one a document, and sums
-documents and occurrences by language, source and term.  Terms never reach over white space, so nothing is lost at a chunk's ends.
+A block of documents is read as counts of its white-space chunks: its distinct chunks, and for each document their codes and counts.  The distinct
+chunks of all blocks meet by hash, where each is cut into terms once, however many documents hold it; a chunk that stands everywhere gives one entry a block and
+not one a document.  The terms go back to their blocks, which join them to their documents' codes and sum distinct documents and occurrences by language, source and
+term; those sums meet by the term's hash.  Chunks and sums travel as arrays, one row for each block and destination.  Terms never reach over white space, so nothing is
+lost at a chunk's ends.
 
 Sources of a language are compared in cells: a cell holds two blocks of sources and a share of the terms, fills in the value that a term without
 occurrences has, and returns one partial sum for each pair of its sources.  Terms that no source of a cell has add a constant a pair."""
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -18,20 +21,47 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from casebook.llm.common import materialize, release, table
+from casebook.llm.common import discard, materialize, release, shuffle_partitions, table
 from casebook.llm.vocab import gather, slices
 
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-#: Bytes of text a block; sources a block of a cell, terms a share of one; documents that a kept term is in; ranks of terms that are returned.
-BLOCK_BYTES, SOURCES, TERMS, LEAST_DOCS, TOP = 16_000_000, 64, 8192, 10, 10
+#: Bytes of text a block and a destination; sources a block of a cell, terms a share of one; documents that a kept term is in; ranks of terms that are returned.
+BLOCK_BYTES, DEST_BYTES, SOURCES, TERMS, LEAST_DOCS, TOP = 32_000_000, 64_000_000, 64, 8192, 10, 10
+#: Sums that a destination holds before it adds up equal ones.
+HELD = 4_000_000
 SCALE = 1_000_000_000
 _LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
+#: A block's counts (kind 0), its distinct chunks for a destination (kind 1), and their terms on the way back (kind 2).
+_BLOCK = "block long, kind int, dest int, langs array<string>, sources array<string>, names binary, a binary, b binary, c binary, d binary"
+_FIELDS = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("dest", pa.int32()), ("langs", pa.list_(pa.string())), ("sources", pa.list_(pa.string())), *[(n, pa.binary()) for n in ("names", "a", "b", "c", "d")]])
 
-def chunk_blocks(docs: DataFrame, size: int = BLOCK_BYTES) -> DataFrame:
-    """(text, lang, source) rows to blocks: block, chunks (distinct), langs and sources of its groups, and as binary arrays each document's group and number
-    of distinct chunks, and their codes and counts end to end.  A block holds about `size` bytes of text, a longer text has one of its own."""
-    kinds = pa.schema([("block", pa.int64()), ("chunks", pa.list_(pa.string())), ("langs", pa.list_(pa.string())), ("sources", pa.list_(pa.string())), *[(n, pa.binary()) for n in ("groups", "sizes", "codes", "counts")]])
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), _FIELDS)], schema=_FIELDS)
+
+
+def pack(values, kind: str = "<i4") -> bytes:
+    """Integers as compressed bytes; unpack() is the way back."""
+    return zlib.compress(np.asarray(values).astype(kind).tobytes(), 1)
+
+
+def unpack(raw: bytes, kind: str = "<i4") -> np.ndarray:
+    return np.frombuffer(zlib.decompress(raw), kind).astype(np.int64)
+
+
+def by_dest(names: list[bytes], dests: int):
+    """(destination, indexes) of names by their checksums."""
+    dest = np.fromiter((zlib.crc32(x) % dests for x in names), np.int64, len(names))
+    order = np.argsort(dest, kind="stable")
+    cuts = np.flatnonzero(np.append(True, np.diff(dest[order]) != 0)) if len(dest) else np.zeros(0, np.int64)
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)]):
+        yield int(dest[order[a]]), order[a:b]
+
+
+def chunk_blocks(docs: DataFrame, dests: int, size: int = BLOCK_BYTES) -> DataFrame:
+    """(text, lang, source) rows to blocks of about `size` bytes of text, a longer text alone: kinds 0 (a: group of each document, b: its number of distinct
+    chunks, c and d: their codes and counts end to end) and 1 (names: chunks, a: their codes).  Nulls count as empty strings."""
 
     def count(batches):
         number, base = 0, TaskContext.get().partitionId() << 32
@@ -39,72 +69,152 @@ def chunk_blocks(docs: DataFrame, size: int = BLOCK_BYTES) -> DataFrame:
 
         def flush():
             nonlocal number, held
-            keys = list(groups)
-            raw = [np.array(doc_group, "<i4"), np.array(sizes, "<i4"), np.concatenate(codes).astype("<i4"), np.concatenate(counts).astype("<i4")]
-            row = [base + number, [k.decode() for k in known], [k[0] for k in keys], [k[1] for k in keys], *(x.tobytes() for x in raw)]
+            keys, names, block = list(groups), list(known), base + number
+            yield _rows([(block, 0, None, [k[0] for k in keys], [k[1] for k in keys], None, pack(doc_group), pack(sizes), pack(np.concatenate(codes)), pack(np.concatenate(counts)))])
+            for dest, own in by_dest(names, dests):
+                yield _rows([(block, 1, dest, None, None, zlib.compress(b"\n".join([names[i] for i in own.tolist()]), 1), pack(own), None, None, None)])
             number, held = number + 1, 0
             for x in (known, groups, doc_group, sizes, codes, counts):
                 x.clear()
-            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, kinds)], schema=kinds)
 
         for batch in batches:
             for at, texts in slices(batch.column(0)):
-                for i, text in enumerate(texts.cast(pa.binary()).to_pylist(), at):
-                    text = text or b""
+                part = [batch.column(k).slice(at, len(texts)).to_pylist() for k in (1, 2)]
+                for text, group in zip(texts.cast(pa.binary()).to_pylist(), zip(*part)):
                     if held and held + len(text) > size:
-                        yield flush()
+                        yield from flush()
                     held += len(text) + 1
                     found = Counter(text.split())  # of bytes: cut at ASCII white space alone
-                    group = (batch.column(1)[i].as_py(), batch.column(2)[i].as_py())
                     doc_group.append(groups.setdefault(group, len(groups)))
                     sizes.append(len(found))
-                    codes.append(np.array([known.setdefault(k, len(known)) for k in found], np.int64))
-                    counts.append(np.fromiter(found.values(), np.int64, len(found)))
+                    codes.append(np.array([known.setdefault(k, len(known)) for k in found], np.int32))
+                    counts.append(np.fromiter(found.values(), np.int32, len(found)))
         if held:
-            yield flush()
+            yield from flush()
         release()
 
     own = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source")])
-    return own.mapInArrow(count, "block long, chunks array<string>, langs array<string>, sources array<string>, groups binary, sizes binary, codes binary, counts binary")
-
-
-def chunk_terms(blocks: DataFrame) -> DataFrame:
-    """(chunk, terms) of all distinct chunks that hold a term, cut once each; a term that stands twice in a chunk is there twice."""
-    chunks = blocks.select(F.explode("chunks").alias("chunk")).distinct()
-    return chunks.select("chunk", F.regexp_extract_all(F.translate("chunk", *_LOWER), F.lit(TERM), F.lit(0)).alias("terms")).where(F.size("terms") > 0)
-
-
-def block_counts(blocks: DataFrame, terms: DataFrame) -> DataFrame:
-    """(lang, source, term, docs, n) of each block: in how many of its documents a term stands, and how often.  terms: chunk_terms()."""
-    asked = blocks.select(F.col("block").alias("owner"), F.posexplode("chunks").alias("code", "chunk"))
-    told = asked.join(terms, "chunk").select("owner", "code", "terms")
-
-    def resolve(left: pa.Table, right: pa.Table) -> pa.Table:
-        empty = pa.table({"lang": pa.array([], pa.string()), "source": pa.array([], pa.string()), "term": pa.array([], pa.string()), "docs": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
-        if not left.num_rows or not right.num_rows:
-            return empty
-        row = left.slice(0, 1).to_pylist()[0]
-        groups, sizes, codes, counts = (np.frombuffer(row[c], "<i4").astype(np.int64) for c in ("groups", "sizes", "codes", "counts"))
-        lists = right.column("terms").combine_chunks()
-        coded = lists.flatten().dictionary_encode()
-        ids, words = np.asarray(coded.indices).astype(np.int64), coded.dictionary
-        has, first = np.zeros(len(row["chunks"]), np.int64), np.zeros(len(row["chunks"]), np.int64)
-        at, lengths = np.asarray(right.column("code")), np.asarray(lists.value_lengths()).astype(np.int64)
-        has[at], first[at] = lengths, np.cumsum(lengths) - lengths
-        doc, each = np.repeat(np.arange(len(sizes)), sizes), has[codes]
-        term = gather(ids, first[codes], each)
-        key, of = np.unique(np.repeat(doc, each) * len(words) + term, return_inverse=True)
-        n = np.zeros(len(key), np.int64)
-        np.add.at(n, of, np.repeat(counts, each))
-        doc, term = np.divmod(key, len(words))
-        pair, of = np.unique(groups[doc] * len(words) + term, return_inverse=True)
-        docs, total = np.bincount(of, minlength=len(pair)), np.zeros(len(pair), np.int64)
-        np.add.at(total, of, n)
-        group, term = np.divmod(pair, len(words))
-        pick = lambda names: pa.array(names, pa.string()).take(pa.array(group))
-        return pa.table({"lang": pick(row["langs"]), "source": pick(row["sources"]), "term": words.take(pa.array(term)), "docs": pa.array(docs.astype(np.int64)), "n": pa.array(total)})
-
-    return blocks.groupBy("block").cogroup(told.groupBy("owner")).applyInArrow(resolve, "lang string, source string, term string, docs long, n long")
+    return own.mapInArrow(count, _BLOCK)
+
+
+def chunk_terms(blocks: DataFrame, parts: int) -> DataFrame:
+    """Kind 2: a block's chunks (a: codes) with their terms (names).  All of a chunk's entries meet in one destination, which cuts it once."""
+    term = re.compile(TERM.encode())
+
+    def cut(batches):
+        known, now = {}, None
+        for batch in batches:
+            for block, dest, names, codes in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                if dest != now:
+                    known, now = {}, dest
+                out = []
+                for chunk in zlib.decompress(names).split(b"\n"):
+                    terms = known.get(chunk)
+                    if terms is None:
+                        terms = known[chunk] = b" ".join(term.findall(chunk.lower()))
+                    out.append(terms)
+                yield _rows([(block, 2, None, None, None, zlib.compress(b"\n".join(out), 1), codes, None, None, None)])
+        release()
+
+    asked = blocks.where("kind = 1").select("block", "dest", "names", "a").repartition(parts, "dest").sortWithinPartitions("dest")
+    return asked.mapInArrow(cut, _BLOCK)
+
+
+def block_sums(blocks: DataFrame, told: DataFrame, dests: int, parts: int) -> DataFrame:
+    """Each block's sums for a destination: dest, langs, sources, names (terms), a (group of each), b (documents), c (occurrences)."""
+
+    def resolve(batches):
+        row, codes, terms = None, [], []
+
+        def flush():
+            groups, sizes, code, times = (unpack(row[x]) for x in "abcd")
+            flat = b"\n".join(terms).split(b"\n")
+            each = np.fromiter((x.count(b" ") + 1 if x else 0 for x in flat), np.int64, len(flat))
+            coded = pa.array(b" ".join([x for x in flat if x]).split(b" "), pa.binary()).dictionary_encode()
+            ids, words = np.asarray(coded.indices).astype(np.int64)[: int(each.sum())], coded.dictionary.to_pylist()
+            at = np.concatenate(codes)
+            has, first = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+            has[at], first[at] = each, np.cumsum(each) - each
+            spread_ = has[code]
+            key, of = np.unique(np.repeat(np.repeat(np.arange(len(sizes)), sizes), spread_) * len(words) + gather(ids, first[code], spread_), return_inverse=True)
+            n = np.bincount(of, np.repeat(times, spread_), len(key)).astype(np.int64)  # below 2^53
+            doc, term = np.divmod(key, len(words))
+            pair, of = np.unique(term * len(row["langs"]) + groups[doc], return_inverse=True)
+            docs, total = np.bincount(of, minlength=len(pair)), np.bincount(of, n, len(pair)).astype(np.int64)
+            term, group = np.divmod(pair, len(row["langs"]))
+            begin = np.searchsorted(term, np.arange(len(words) + 1))
+            for dest, own in by_dest(words, dests):
+                own = own[begin[own + 1] > begin[own]]
+                k = begin[own + 1] - begin[own]
+                spots = gather(np.arange(len(pair)), begin[own], k)
+                if len(own):
+                    yield _rows([(0, 0, dest, row["langs"], row["sources"], zlib.compress(b" ".join([words[i] for i in own.tolist()]), 1), pack(k), pack(group[spots]), pack(docs[spots], "<i8"), pack(total[spots], "<i8"))])
+
+        for batch in batches:
+            for r in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
+                if row is not None and r["block"] != row["block"]:
+                    if codes:
+                        yield from flush()
+                    row = None
+                if r["kind"] == 0:
+                    row, codes, terms = r, [], []
+                else:
+                    codes.append(unpack(r["a"]))
+                    terms.append(zlib.decompress(r["names"]))
+        if row is not None and codes:
+            yield from flush()
+        release()
+
+    met = blocks.where("kind = 0").unionByName(told).repartition(parts, "block").sortWithinPartitions("block", "kind")
+    return met.mapInArrow(resolve, _BLOCK)
+
+
+def kept_counts(sums: DataFrame, least: int, parts: int) -> DataFrame:
+    """(lang, source, term, n, all) of the terms in at least `least` documents of a language: occurrences in the source's documents, and in the language's."""
+    out = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("all", pa.int64())])
+
+    def add(batches):
+        terms, groups, held, size, now = {}, {}, [], 0, None
+
+        def added():
+            key, of = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+            sums_ = []
+            for k in (1, 2):
+                total = np.zeros(len(key), np.int64)
+                np.add.at(total, of, np.concatenate([h[k] for h in held]))
+                sums_.append(total)
+            return key, *sums_
+
+        def flush():
+            key, docs, n = added()
+            names, words = list(groups), list(terms)
+            langs = {x: i for i, x in enumerate(dict.fromkeys(g[0] for g in names))}
+            group, term = key >> 40, key & (1 << 40) - 1
+            _, of = np.unique(np.array([langs[g[0]] for g in names])[group] * len(words) + term, return_inverse=True)
+            whole, every = np.zeros(of.max() + 1, np.int64), np.zeros(of.max() + 1, np.int64)
+            np.add.at(whole, of, docs)
+            np.add.at(every, of, n)
+            for at in np.array_split(np.flatnonzero(whole[of] >= least), 1 + len(key) // 100_000):
+                picked = [[names[g][0] for g in group[at].tolist()], [names[g][1] for g in group[at].tolist()], [words[t].decode() for t in term[at].tolist()], n[at], every[of][at]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(picked, out)], schema=out)
+
+        for batch in batches:
+            for dest, ls, ss, names, k, group, docs, n in zip(*(batch.column(c).to_pylist() for c in ("dest", "langs", "sources", "names", "a", "b", "c", "d"))):
+                if dest != now:
+                    if held:
+                        yield from flush()
+                    terms, groups, held, size, now = {}, {}, [], 0, dest
+                own = np.array([terms.setdefault(t, len(terms)) for t in zlib.decompress(names).split(b" ")])
+                local = np.array([groups.setdefault(g, len(groups)) for g in zip(ls, ss)])
+                held.append((local[unpack(group)] << 40 | np.repeat(own, unpack(k)), unpack(docs, "<i8"), unpack(n, "<i8")))
+                size += len(held[-1][0])
+                if size >= HELD:
+                    held, size = [added()], 0
+        if held:
+            yield from flush()
+        release()
+
+    return sums.repartition(parts, "dest").sortWithinPartitions("dest").mapInArrow(add, "lang string, source string, term string, n long, all long")
 
 
 def share(count: Column, total: Column, kept: Column) -> Column:
@@ -164,13 +274,16 @@ def divergence(docs: DataFrame, least: int = LEAST_DOCS, top: int = TOP) -> Data
     """(lang, source, part, item, value, rank) of (text, lang, source) rows: all pairs of a language's sources, and each source's terms that stand out most.
 
     Nulls count as empty strings.  A source without terms is compared like any other; a language without kept terms gives pairs of value 0."""
-    blocks = materialize(chunk_blocks(docs), "blocks")
-    counts = materialize(block_counts(blocks, chunk_terms(blocks)).groupBy("lang", "source", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n")), "counts")
-    kept = materialize(counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("all")).where(F.col("docs") >= least).select("lang", "term", "all"), "kept")
-    langs = kept.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("all").alias("lang_total"))
-    own = materialize(counts.join(kept, ["lang", "term"]).select("lang", "source", "term", "n", "all"), "own")
+    least_parts = shuffle_partitions(docs.sparkSession)
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    dests = max(least_parts, size // DEST_BYTES)
+    parts = min(dests, max(least_parts, size // (2 * DEST_BYTES)))
+    blocks = materialize(chunk_blocks(docs, dests), "blocks")
+    own = materialize(kept_counts(block_sums(blocks, chunk_terms(blocks, parts), dests, parts), least, parts), "own")
+    groups = materialize(blocks.where("kind = 0").select(F.explode(F.arrays_zip("langs", "sources")).alias("g")).select(F.col("g.langs").alias("lang"), F.col("g.sources").alias("source")).distinct(), "groups")
+    discard(blocks)
+    langs = own.groupBy("lang", "term").agg(F.max("all").alias("all")).groupBy("lang").agg(F.count("*").alias("kept"), F.sum("all").alias("lang_total"))
     totals = own.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    groups = blocks.select(F.explode(F.arrays_zip("langs", "sources")).alias("g")).select(F.col("g.langs").alias("lang"), F.col("g.sources").alias("source")).distinct()
     zero = F.col("kept") > 0
     sized = groups.join(langs, "lang", "left").join(totals, ["lang", "source"], "left").na.fill(0, ["kept", "lang_total", "total"])
     sized = materialize(sized.withColumn("p0", F.when(zero, F.expr(f"1 + {SCALE}BD * 2 div (CASE WHEN kept > 0 THEN total + 2BD * kept END)")).otherwise(1).cast("long")), "sized")
