@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from casebook.functions.ids import article_uid, canonical_json, content_hash, entity_id, incident_id
 from casebook.functions.storage import materialize
 from casebook.functions.text import clean_html, clean_text, country_of, domain_of, normalize_text, tokenize
-from casebook.operators import cluster, flows, geo, graph, ledger, linkage, ordering, relevance, sync, trust, vectors
+from casebook.operators import assignment, cluster, flows, geo, graph, ledger, linkage, ordering, pairing, relations, relevance, sync, trust, vectors
 from casebook.plans.base import load, query
 
 _TOK = r"list_filter(list_distinct(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')), lambda t: length(t) >= 3)"
@@ -33,16 +33,10 @@ def _cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _relations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(profiles, related): documents with equal cleaned text, headline and site as one, and all pairs of them of Jaccard index >= 3/10.
-
-    No other pair can be a duplicate or a reproduction: that takes a text likeness of .65 at least, half of which is the index."""
-    rows = _cleaned(spark, sf_dir)
-    found = materialize(linkage.profiles(rows.select("id", "tokens", "text_key", "title", "site"), "text_key", "title", "site"), "profiles")
-    return found, materialize(linkage.related_profiles(found, rows.select("id", "clean"), 3, 10), "related")
-
-
-def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linkage.profile_keys(_cleaned(spark, sf_dir), "text_key", "title", "site")
+    """(members, relations): documents with their incidents by the sequential rule, and the relations of all pairs inside an incident."""
+    rows = assignment.assigned(_fields(spark, sf_dir))
+    members = _cleaned(spark, sf_dir).join(rows.select("id", "incident"), "id")
+    return members, materialize(relations.relations(members), "relations")
 
 
 #: All pairs of documents that share a token, with the Jaccard index of their tokens.
@@ -53,7 +47,7 @@ sims AS (SELECT a, b, shared / (len(x.t) + len(y.t) - shared) AS j FROM cnt JOIN
 
 @query()
 def near_dup_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Relations between all documents that share three tenths of their tokens, by kind (J-13, F-08, F-10, F-18, D-01 to D-03)."""
+    """Relations between all documents of one incident, by kind (J-13, F-08, F-10, F-18, D-01 to D-03)."""
     _, related = _relations(spark, sf_dir)
     mean = lambda c: F.round(F.sum(F.col(c) * F.col("pairs")) / F.sum("pairs"), 4)
     return related.groupBy("relation").agg(F.sum("pairs").alias("n"), mean("text_similarity").alias("mean_text"), mean("independence").alias("mean_independence"))
@@ -61,10 +55,21 @@ def near_dup_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def evidence_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Evidence label of each document from its relations (A-28, D-04)."""
-    found, related = _relations(spark, sf_dir)
-    labels = linkage.evidence_labels(related.select("a", "b", "relation"), found.select(F.col("key").alias("id")))
-    return _members(spark, sf_dir).join(labels.withColumnRenamed("id", "key"), "key").select("id", "label")
+    """Evidence of each document in its incident: label, independence and confidence (A-28, D-04)."""
+    return relations.evidence(*_relations(spark, sf_dir))
+
+
+@query()
+def incident_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The incident that each document joins or opens, in order of id, and its score (C-02 to C-08, C-10, J-14)."""
+    return assignment.assigned(_fields(spark, sf_dir)).select("id", "incident", F.round("score", 6).alias("score"))
+
+
+@query()
+def incident_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Incidents with the first known value of each field, days, documents and confidence (C-06, C-10)."""
+    rows = _fields(spark, sf_dir)
+    return assignment.incident_table(rows, assignment.assigned(rows)).withColumn("confidence", F.round("confidence", 6))
 
 
 @query(rf"SELECT k AS token, count(*) AS df FROM (SELECT unnest({_TOK.format('text')}) AS k FROM documents) GROUP BY k")
@@ -75,9 +80,9 @@ def doc_token_df(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def seq_similarity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text and title likeness of all near pairs of different documents, each class of copies by its first one (F-18, D-01)."""
+    """Text and headline likeness of all pairs of different documents of one incident, each class of copies by its first one (F-18, D-01)."""
     _, related = _relations(spark, sf_dir)
-    return related.where("a <> b").select(F.col("x").alias("a"), F.col("y").alias("b"), "pairs", F.round("ratio", 6).alias("ratio"), F.round("text_similarity", 6).alias("similarity"), F.round("title_similarity", 6).alias("title_similarity"), "relation")
+    return related.where("a <> b").select("incident", "a", "b", "pairs", F.round("text_similarity", 6).alias("similarity"), F.round("title_similarity", 6).alias("title_similarity"), "relation")
 
 
 @query(r"""WITH RECURSIVE h AS (SELECT doc_id AS id, regexp_replace(trim(lower(string_split(text, chr(10))[1])), '\s+', ' ', 'g') AS headline, ((doc_id * 37) % 200) * 86400 AS t FROM documents),
@@ -202,10 +207,14 @@ def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, k = articles(spark, sf_dir), F.col("id")
     kinds = F.array_compact(F.array(F.when(F.contains(F.lower("text"), F.lit("license")), "license"), F.when(F.length("text") > 3000, "long")))
     return rows.select("id", "day", F.when((F.col("lang") == "en") & (k % 4 == 0), F.col("site")).alias("target"), F.when(k % 5 != 0, F.col("lang")).alias("actor"), tokenize(F.col("text")).alias("tokens"), kinds.alias("kinds"),
-                       F.when(k % 3 == 0, "unknown").otherwise(F.concat("lang", F.lit(" town"))).alias("location"), F.when(k % 2 == 0, F.col("day")).alias("attack_day"), F.when(F.length("text") > 500, "long text").otherwise("short text").alias("method"), F.array().cast("array<string>").alias("rare"))
+                       F.when(k % 3 == 0, "unknown").otherwise(F.concat("lang", F.lit(" town"))).alias("location"), F.when(k % 2 == 0, F.col("day")).alias("attack_day"), F.when(F.length("text") > 500, "long text").otherwise("short text").alias("method"))
 
 
-@query(rf"""WITH RECURSIVE {_PAIRS}, d AS (SELECT doc_id AS id, (doc_id * 37) % 200 AS day, CASE WHEN lang = 'en' AND doc_id % 4 = 0 THEN source END AS target, CASE WHEN doc_id % 5 <> 0 THEN lang END AS actor,
+@query(rf"""WITH RECURSIVE arts AS (SELECT doc_id AS id, {_TOK.format('text')} AS t FROM documents), tok AS (SELECT id, unnest(t) AS k FROM arts), tdf AS (SELECT k, count(*) AS n FROM tok GROUP BY k),
+rare AS (SELECT id, k FROM tok JOIN tdf USING (k) WHERE length(k) >= 5 AND n <= greatest(5, (SELECT count(*) FROM documents) // 4000)), both_rare AS (SELECT DISTINCT x.id AS a, y.id AS b FROM rare x JOIN rare y ON x.k = y.k AND x.id < y.id),
+num AS (SELECT id, hash(k) AS k FROM tok), cnt AS (SELECT x.id AS a, y.id AS b, count(*) AS shared FROM num x JOIN num y ON x.k = y.k AND x.id < y.id GROUP BY x.id, y.id),
+sims AS (SELECT x.id AS a, y.id AS b, CASE WHEN len(x.t) + len(y.t) > 0 THEN coalesce(shared, 0) / (len(x.t) + len(y.t) - coalesce(shared, 0)) ELSE 0.0 END AS j, r.a IS NOT NULL AS rare FROM arts x JOIN arts y ON x.id < y.id LEFT JOIN cnt c ON c.a = x.id AND c.b = y.id LEFT JOIN both_rare r ON r.a = x.id AND r.b = y.id),
+d AS (SELECT doc_id AS id, (doc_id * 37) % 200 AS day, CASE WHEN lang = 'en' AND doc_id % 4 = 0 THEN source END AS target, CASE WHEN doc_id % 5 <> 0 THEN lang END AS actor,
   list_filter([CASE WHEN contains(lower(text), 'license') THEN 'license' END, CASE WHEN length(text) > 3000 THEN 'long' END], lambda x: x IS NOT NULL) AS kinds, CASE WHEN doc_id % 3 <> 0 THEN lang || ' town' END AS location,
   CASE WHEN doc_id % 2 = 0 THEN (doc_id * 37) % 200 END AS aday, CASE WHEN length(text) > 500 THEN 'long text' ELSE 'short text' END AS method FROM documents),
 p AS (SELECT sims.*, x.target IS NOT DISTINCT FROM y.target AND x.target IS NOT NULL AS same_target, x.actor IS NOT DISTINCT FROM y.actor AND x.actor IS NOT NULL AS same_actor,
@@ -213,21 +222,23 @@ p AS (SELECT sims.*, x.target IS NOT DISTINCT FROM y.target AND x.target IS NOT
   CASE WHEN x.target IS NOT NULL AND y.target IS NOT NULL THEN 1.0 END AS ft, CASE WHEN x.actor IS NOT NULL AND y.actor IS NOT NULL THEN 1.0 END AS fa,
   CASE WHEN len(x.kinds) > 0 AND len(y.kinds) > 0 THEN len(list_intersect(x.kinds, y.kinds)) / len(list_distinct(x.kinds || y.kinds)) END AS fk,
   CASE WHEN x.location = y.location THEN 1.0 WHEN x.location IS NOT NULL AND y.location IS NOT NULL THEN 1 / 3 END AS fl, greatest(0.0, 1 - abs(x.aday - y.aday) / 14) AS fd0, x.aday IS NOT NULL AND y.aday IS NOT NULL AS dated,
-  CASE WHEN x.method = y.method THEN 1.0 ELSE 1 / 3 END AS fm FROM sims JOIN d x ON x.id = a JOIN d y ON y.id = b WHERE j >= 0.35),
+  CASE WHEN x.method = y.method THEN 1.0 ELSE 1 / 3 END AS fm FROM sims JOIN d x ON x.id = a JOIN d y ON y.id = b),
 q AS (SELECT *, (coalesce(ft * 0.3, 0) + j * 0.3 + coalesce(fa * 0.15, 0) + coalesce(fk * 0.1, 0) + coalesce(fl * 0.05, 0) + CASE WHEN dated THEN fd0 * 0.05 ELSE 0 END + fm * 0.05)
   / (CASE WHEN ft IS NULL THEN 0 ELSE 0.3 END + 0.3 + CASE WHEN fa IS NULL THEN 0 ELSE 0.15 END + CASE WHEN fk IS NULL THEN 0 ELSE 0.1 END + CASE WHEN fl IS NULL THEN 0 ELSE 0.05 END + CASE WHEN dated THEN 0.05 ELSE 0 END + 0.05) AS score FROM p),
-l AS (SELECT a, b FROM q WHERE NOT clash AND NOT far AND (fits OR same_target) AND (((same_target OR (same_actor AND j >= 0.3)) AND score >= 0.4) OR score >= 0.7)), e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+l AS (SELECT a, b FROM q WHERE NOT clash AND NOT far AND (fits OR same_target OR rare) AND (((same_target OR rare OR (same_actor AND j >= 0.3)) AND score >= 0.4) OR (j >= 0.35 AND score >= 0.7))), e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
 reach AS (SELECT a AS id, a AS c FROM e UNION SELECT reach.id, e.b FROM reach JOIN e ON e.a = reach.c), c AS (SELECT id, min(c) AS c FROM reach GROUP BY id)
 SELECT coalesce(c, d.id) AS incident, d.id FROM d LEFT JOIN c USING (id)""")
 def incident_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Articles grouped to incidents by constraints, weighted similarity and components; candidates share 7/20 of their tokens (C-02 to C-08, J-14)."""
-    rows = materialize(_fields(spark, sf_dir), "fields")
+    """Articles grouped to incidents by constraints, weighted similarity and components; candidates share a target, a rare token or three tenths of their tokens (C-02 to C-05, C-07)."""
+    rows = materialize(cluster.with_rare(_fields(spark, sf_dir)), "fields")
     columns = [c for c in rows.columns if c not in ("id", "tokens")]
     keyed = rows.select("id", "tokens", F.xxhash64(F.array_sort("tokens")).alias("set"), *columns)
     found = materialize(linkage.profiles(keyed, "set", *columns), "profiles")
     heads = found.select("key", "head")
-    near = linkage.alike_pairs(found.select("key", "tokens"), 7, 20).join(heads.select(F.col("key").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("key").alias("b"), F.col("head").alias("y")), "b")
-    links = cluster.link_articles(rows, near.select(F.col("x").alias("a"), F.col("y").alias("b"))).select("a", "b")
+    alike = linkage.alike_pairs(found.select("key", "tokens"), 3, 10).join(heads.select(F.col("key").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("key").alias("b"), F.col("head").alias("y")), "b")
+    shared = cluster.shared_keys(rows.join(heads.select(F.col("head").alias("id")), "id", "left_semi"))
+    pairs = materialize(alike.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).union(shared).distinct(), "pairs")
+    links = cluster.link_articles(rows, pairs).select("a", "b")
     # rows of equal fields and tokens are alike in all that is compared, so they are linked
     own = linkage.profile_keys(keyed, "set", *columns).join(found.where((F.col("copies") > 1) & (F.size("tokens") > 0)).select("key", "head"), "key").select(F.col("head").alias("a"), F.col("id").alias("b"))
     return cluster.incidents(rows, links.union(own))

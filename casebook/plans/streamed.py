@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from casebook.plans.base import query
@@ -39,4 +39,14 @@ i AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS in
 def stream_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running incidents of each user from keyed state (G-S5, G-S6)."""
     rows = streams.run_to_table(streams.incident_windows(_events(spark, sf_dir), "user_id", "ts", 1), "incidents")
-    return rows.groupBy("user_id", "incident").agg(F.max("n").alias("n"))
+    whole = rows.groupBy("user_id", "first").agg(F.max("n").alias("n"))
+    return whole.select("user_id", F.row_number().over(Window.partitionBy("user_id").orderBy("first")).cast("long").alias("incident"), "n")
+
+
+@query()
+def stream_incident_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Open incidents of each kind of event with the tokens of their members, and what became of them (G-S5, G-S6)."""
+    words = F.array_distinct(F.concat(F.array("event_type"), F.regexp_extract_all("props", F.lit("([0-9a-z]+)"), 1), F.array(F.concat(F.lit("v"), F.floor(F.col("value") / 20).cast("string")))))
+    rows = streams.incident_states(_events(spark, sf_dir).withColumn("words", words), "user_id", "ts", "words", "event_type", 1)
+    kept = streams.run_to_table(rows, "states")
+    return kept.groupBy("user_id", "first", "field").agg(F.max("n").alias("n"), F.max("last").alias("last"), F.max("tokens").alias("tokens"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -59,21 +60,76 @@ def upsert_batches(stream: DataFrame, key: str, newest: str, name: str) -> DataF
 def incident_windows(events: DataFrame, key: str, time: str, days: int = 14) -> DataFrame:
     """State of each key's running incident: an event up to `days` after the last joins it, a later one opens the next (G-S5, G-S6).
 
-    One row an incident and batch that touched it: key, incident (number), first, last, n.  Late events join the incident whose window holds
-    them and never move its beginning."""
+    One row an incident and batch that touched it: key, first, last, n; an incident is named by its key and first time.  A key's state goes once the watermark
+    has passed the time in which an event could join, so the state holds the keys of the last days alone.  Events later than the watermark are dropped; others that come out
+    of order join the running incident and never move its beginning."""
     reach = days * 86_400
 
     def update(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        number, first, last, n = state.get if state.exists else (0, None, None, 0)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        first, last, n = state.get if state.exists else (None, None, 0)
         times = sorted(t.timestamp() for frame in frames for t in frame[time])
         touched = {}
         for t in times:
             if first is None or t > last + reach:
-                number, first, last, n = number + 1, t, t, 0
+                first, last, n = t, t, 0
             last, n = max(last, t), n + 1
-            touched[number] = (name[0], number, first, last, n)
-        state.update((number, first, last, n))
-        yield pd.DataFrame(list(touched.values()), columns=[key, "incident", "first", "last", "n"])
+            touched[first] = (name[0], first, last, n)
+        state.update((first, last, n))
+        _expire(state, last + reach)
+        yield pd.DataFrame(list(touched.values()), columns=[key, "first", "last", "n"])
 
-    kind = f"{key} long, incident long, first double, last double, n long"
-    return events.select(key, time).groupBy(key).applyInPandasWithState(update, kind, "number long, first double, last double, n long", "append", GroupStateTimeout.NoTimeout)
+    kind = f"{key} long, first double, last double, n long"
+    return events.withWatermark(time, LATENESS).select(key, time).groupBy(key).applyInPandasWithState(update, kind, "first double, last double, n long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def _expire(state: GroupState, seconds: float) -> None:
+    """The state is looked at again when the watermark passes this time; one that it has passed already counts from now."""
+    state.setTimeoutTimestamp(max(int(seconds * 1000), state.getCurrentWatermarkMs()) + 1000)
+
+
+#: Likeness at which an article joins an open incident, tokens after which an incident's text grows no more.
+ALIKE, MOST_TOKENS = 0.35, 300
+
+
+def incident_states(articles: DataFrame, key: str, time: str, tokens: str, field: str, days: int = 14) -> DataFrame:
+    """Open incidents of each key with their texts: an article joins the most alike incident whose days it is near to, else it opens one (G-S6).
+
+    One row an incident and batch that touched it: key, first, last, n, tokens (how many the incident has), field (its first known value).  Of equally alike incidents the
+    earliest counts; articles of one batch go by time.  An incident is forgotten once the watermark has passed its last day by `days`, and a key with its last
+    incident; so a key's state is bounded by the incidents of some days, at most MOST_TOKENS tokens and one article's each."""
+    reach = days * 86_400
+
+    def update(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = json.loads(state.get[0]) if state.exists else []
+        touched = {}
+        if not state.hasTimedOut:
+            rows = sorted((t.timestamp(), sorted(set(words)), value or "") for frame in frames for t, words, value in zip(frame[time], frame[tokens], frame[field].fillna("")))
+            for t, words, value in rows:
+                best, at = 0.0, None
+                for o in held:
+                    both = len(set(words) & set(o["tokens"]))
+                    like = both / (len(words) + len(o["tokens"]) - both) if words else 0.0
+                    if o["first"] - reach <= t <= o["last"] + reach and like >= ALIKE and like > best:
+                        best, at = like, o
+                if at is None:
+                    at = {"first": t, "last": t, "n": 0, "tokens": [], "field": None}
+                    held.append(at)
+                at["last"], at["n"], at["field"] = max(at["last"], t), at["n"] + 1, at["field"] or value or None
+                if len(at["tokens"]) < MOST_TOKENS:
+                    at["tokens"] = sorted({*at["tokens"], *words})
+                touched[id(at)] = (name[0], at["first"], at["last"], at["n"], len(at["tokens"]), at["field"])
+        mark = state.getCurrentWatermarkMs() / 1000
+        held = [o for o in held if o["last"] + reach >= mark]
+        if held:
+            state.update((json.dumps(held),))
+            _expire(state, min(o["last"] for o in held) + reach)
+        elif state.exists:
+            state.remove()
+        if touched:
+            yield pd.DataFrame(list(touched.values()), columns=[key, "first", "last", "n", "tokens", "field"])
+
+    kind = f"{key} long, first double, last double, n long, tokens long, field string"
+    return articles.withWatermark(time, LATENESS).select(key, time, tokens, field).groupBy(key).applyInPandasWithState(update, kind, "held string", "append", GroupStateTimeout.EventTimeTimeout)

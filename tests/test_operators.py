@@ -58,12 +58,6 @@ def test_relations(spark, text, title, site, want):
     assert spark.range(1).select(linkage.relation(F.lit(text), F.lit(title), F.lit(site))).first()[0] == want
 
 
-def test_uncertain_relations_leave_single_source(spark):
-    rel = spark.createDataFrame([(1, 2, "UNCERTAIN_RELATION"), (2, 3, "LIKELY_DUPLICATE"), (3, 4, "LIKELY_INDEPENDENT")], "a long, b long, relation string")
-    arts = spark.range(1, 6)
-    assert rows(linkage.evidence_labels(rel, arts)) == [(1, "SINGLE_SOURCE"), (2, "DUPLICATE_OR_REPEATED"), (3, "INDEPENDENT_SUPPORT"), (4, "INDEPENDENT_SUPPORT"), (5, "SINGLE_SOURCE")]
-
-
 def test_relevance(spark):
     r = relevance.relevance(F.col("t"), F.col("s"), ["ransomware", "breach", "virus"], ["was hit"], ["how to"], ["virus"], ["computer"])
     given = [("Bank breach", "It was hit by ransomware"), ("virus season", "flu"), ("virus season", "a computer"), (None, None), ("how to", "how to")]
@@ -213,62 +207,12 @@ def test_large_families_keep_their_pairs(spark, tmp_path):
 
     texts = [(i, "headline of a copied report\n" + " ".join(f"copied{k}" for k in range(40))) for i in range(1, 26)] + [(99, "alone entirely different matter")]
     spark.createDataFrame([(i, t, "en", f"s{i % 2}", len(t)) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars int").write.parquet(str(tmp_path / "documents.parquet"))
-    assert [tuple(r)[:2] for r in domain.near_dup_relations(spark, str(tmp_path)).collect()] == [("LIKELY_DUPLICATE", 300)]
-    assert dict(rows(domain.evidence_labels(spark, str(tmp_path)))) == {i: "DUPLICATE_OR_REPEATED" if i < 99 else "SINGLE_SOURCE" for i, _ in texts}
     assert dict(rows(domain.components(spark, str(tmp_path)))) == {i: 1 for i in range(1, 26)}
-    # copies are one class a site: one pair of classes stands for all pairs between them
-    assert [(r["a"], r["b"], r["pairs"], r["similarity"]) for r in domain.seq_similarity_pairs(spark, str(tmp_path)).collect()] == [(1, 2, 156, 1.0)]
     days = {i: i * 37 % 200 for i in range(1, 26)}
     found = dict((i, c) for c, i in rows(domain.incident_clusters(spark, str(tmp_path))))
     assert all(found[i] == found[j] for i in days for j in days if abs(days[i] - days[j]) < 14) and found[99] == 99
 
 
-def test_relations_follow_the_plain_rules(spark, tmp_path):
-    """All pairs by nested loops, difflib and sets, as the rules say, against the queries over candidates and classes."""
-    import re
-    from collections import Counter
-    from difflib import SequenceMatcher
-
-    from casebook.plans import domain
-
-    def clean(x):
-        for pattern in (r"https?://\S+", r"www\.\S+", r"[^\w\s]", r"\s+"):
-            x = re.sub(pattern, " ", x.lower())
-        return x.strip()
-
-    def ratio(a, b):
-        return 0.0 if not a or not b else 1.0 if a == b else SequenceMatcher(None, a, b).ratio()
-
-    rng = random.Random(5)
-    words = ["".join(rng.choice("bdlnrst") + rng.choice("aeiou") for _ in range(rng.randint(1, 4))) for _ in range(150)]
-    docs = []
-    for family in range(8):
-        head, body = rng.sample(words, 6), rng.sample(words, 40)
-        for k in range(6):
-            own = [rng.choice(words) if rng.random() < 0.03 * k * family else w for w in body]
-            title = list(head) if rng.random() < 0.7 else rng.sample(words, 6)
-            docs.append((len(docs) + 1, " ".join(title) + "\nSee https://x.y/" + str(k) + ", " + " ".join(own) + ".", "en", rng.choice(["s1", "s2", None])))
-    docs += [(len(docs) + 1, docs[0][1].upper(), "en", docs[0][3]), (len(docs) + 2, "", "en", "s1"), (len(docs) + 3, "", "en", "s1")]
-    spark.createDataFrame([(*d, len(d[1])) for d in docs], "doc_id long, text string, lang string, source string, n_chars int").write.parquet(str(tmp_path / "documents.parquet"))
-    want, labels = Counter(), {d[0]: set() for d in docs}
-    for i, x in enumerate(docs):
-        for y in docs[i + 1 :]:
-            a, b = clean(x[1]), clean(y[1])
-            s, t = ({w for w in z.split() if len(w) > 2} for z in (a, b))
-            index = len(s & t) / len(s | t) if s | t else 0.0
-            if index < 0.3:
-                continue
-            likeness, title, same = 0.5 * index + 0.5 * ratio(a, b), ratio(clean(x[1].split("\n")[0]), clean(y[1].split("\n")[0])), x[3] is not None and x[3] == y[3]
-            kind = "LIKELY_DUPLICATE" if likeness >= 0.9 else "LIKELY_REPRODUCED" if likeness >= 0.8 and title >= 0.85 else "POSSIBLE_REPRODUCED" if title >= 0.85 and likeness >= 0.65 else "POSSIBLE_DUPLICATE" if same and likeness >= 0.7 else "LIKELY_INDEPENDENT" if likeness <= 0.4 else "UNCERTAIN_RELATION"
-            want[kind] += 1
-            for d in (x[0], y[0]):
-                labels[d].add(kind)
-    found = {r["relation"]: r["n"] for r in domain.near_dup_relations(spark, str(tmp_path)).collect()}
-    assert found == want and len(want) >= 4
-    order = (("INDEPENDENT_SUPPORT", {"LIKELY_INDEPENDENT"}), ("REPRODUCED_OR_SYNDICATED", {"LIKELY_REPRODUCED", "POSSIBLE_REPRODUCED"}), ("DUPLICATE_OR_REPEATED", {"LIKELY_DUPLICATE", "POSSIBLE_DUPLICATE"}))
-    assert dict(rows(domain.evidence_labels(spark, str(tmp_path)))) == {d: next((name for name, kinds in order if kinds & seen), "SINGLE_SOURCE") for d, seen in labels.items()}
-
-
 def test_names_resolve_to_the_best_entity(spark):
     entities = [(5, "North Harbour General Hospital of the Lake"), (3, "north harbour general hospital of the lakes"), (9, "Acme Bank"), (1, "")]
     mentions = [(1, "NORTH HARBOUR GENERAL HOSPITAL OF THE LAKE"), (2, "North Harbour General Hospital at the Lake"), (3, "acme  bank"), (4, "Acme Banks"), (5, ""), (6, None)]
