@@ -84,3 +84,21 @@ def test_ranges_cost_no_plan(spark):
     sizes = [len(df.select(common.bucket_of(F.col("k"), list(range(n))))._jdf.queryExecution().toString()) for n in (10, 10_000)]
     assert sizes[0] == sizes[1]
     assert [r[0] for r in df.select(common.bucket_of(F.col("k"), [2, 5])).collect()] == [0, 0, 1, 1, 1, 2, 2, 2, 2, 2]
+
+
+def test_hot_shingles_meet_in_pieces(spark, monkeypatch):
+    from test_documents import components
+
+    monkeypatch.setattr(jaccard_join, "SPLIT", 4)
+    rng = random.Random(6)
+    words, other = prose(rng, 80).split(), prose(rng, 30).split()
+    rows = [(i, " ".join(prose(rng, 1) if rng.random() < 0.01 else w for w in words)) for i in range(70)]
+    rows += [(100 + i, " ".join(words[:20] + [prose(rng, 1) for _ in range(40)])) for i in range(20)] + [(200 + i, " ".join(other + [prose(rng, 1) for _ in range(i % 4)])) for i in range(25)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in jaccard_join.similarity_components(docs).collect()) == components(rows)
+    level = jaccard_join.levels(jaccard_join.profile(docs))
+    split = {(r["gid"], r["node"]) for r in jaccard_join.shared_prefixes(docs, level, 4, 4).collect()}
+    monkeypatch.setattr(jaccard_join, "SPLIT", 1 << 16)
+    whole = {(r["gid"], r["node"]) for r in jaccard_join.shared_prefixes(docs, level, 4, 4).collect()}
+    sets = lambda pairs: {frozenset(n for g, n in pairs if g == gid) for gid, _ in pairs}
+    assert {x for x in sets(split) if len(x) > 1} == sets(whole) and level.max() > 16
