@@ -110,8 +110,8 @@ def province_rollup(mentions: DataFrame, top: int = 2) -> DataFrame:
 
 def top_incidents(incidents: DataFrame, days: int, most: int) -> DataFrame:
     """(incident, documents, domains, last_day) to the `most` largest by documents and twice the domains within `days` of the newest day of the data, ranked (W-07, Y-01)."""
-    clock = incidents.agg(F.max("last_day").alias("clock")).withColumn("j", F.lit(1))
-    near = incidents.withColumn("j", F.lit(1)).join(clock, "j").where((F.col("last_day") >= F.col("clock") - days) & (F.col("documents") >= 2))
+    clock = incidents.agg(F.max("last_day")).first()[0]
+    near = incidents.where((F.col("last_day") >= F.lit(clock) - days) & (F.col("documents") >= 2))
     best = near.withColumn("score", F.col("documents") + 2 * F.coalesce("domains", F.lit(0))).orderBy(F.desc("score"), "incident").limit(most)
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "incident"))).select("rank", "incident", "score")  # `most` rows
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casebook.functions.text import normalize_text
+from casebook.operators.ordering import medians
 from casebook.operators.records import JUDGED, same_value
 
 FLOWS = ("D1", "D2", "D3", "D4")
@@ -51,17 +52,18 @@ def compare(rows: DataFrame, begun: DataFrame) -> DataFrame:
     n = lambda cond: F.count_if(F.coalesce(cond, F.lit(False)))
     share = lambda hits, all_: F.when(all_ > 0, hits / all_)
     # the machine's first output of all: speed counts from incidents that began after it
-    started = rows.agg(F.min("first_D1").alias("started")).withColumn("k", F.lit(1))
-    met = rows.join(begun, "incident", "left").withColumn("k", F.lit(1)).join(started, "k")
-    hours = {f: F.when(F.col("begin") >= F.col("started"), F.greatest(F.lit(0.0), (F.unix_timestamp(F.col(f"first_{f}").cast("timestamp")) - F.unix_timestamp(F.col("begin").cast("timestamp"))) / 3600)) for f in FLOWS}
+    started = F.lit(rows.agg(F.min("first_D1")).first()[0])
+    met = rows.join(begun, "incident", "left")
+    hours = {f: F.when(F.col("begin") >= started, F.greatest(F.lit(0.0), (F.unix_timestamp(F.col(f"first_{f}").cast("timestamp")) - F.unix_timestamp(F.col("begin").cast("timestamp"))) / 3600)) for f in FLOWS}
     confirmed, refuted = d["D4"]["status"] == "confirmed", d["D4"]["status"] == "refuted"
+    middle = dict(zip(FLOWS, medians(met, list(hours.values()))))
     out: list[tuple[str, str, str, Column, Column]] = []
     total = n(have["D1"])
     for f in FLOWS:
         out.append(("coverage", f, "", n(have[f]).cast("double"), total))
         if f != "D1":
             out.append(("coverage_share", f, "", share(n(have[f]), total), total))
-        out.append(("median_hours", f, "", F.median(hours[f]), F.count(hours[f])))
+        out.append(("median_hours", f, "", F.lit(middle[f]).cast("double"), F.count(hours[f])))
     for x in JUDGED:
         truth, mine = d["D4"][x], d["D1"][x]
         # values are normalized before they are compared, and an empty one is none

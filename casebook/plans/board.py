@@ -75,8 +75,8 @@ def recent_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 def literacy_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cases of the last ninety days of the data with their segment and its size (P-11); segments are counted before they are joined back."""
     o = load(spark, sf_dir, "orders")
-    now = o.agg(F.max("o_orderdate").alias("now")).withColumn("j", F.lit(1))
-    near = o.withColumn("j", F.lit(1)).join(now, "j").where(F.col("o_orderdate") >= F.col("now") - F.expr("interval 90 days"))
+    now = o.agg(F.max("o_orderdate").alias("now")).first()["now"]
+    near = o.where(F.col("o_orderdate") >= F.lit(now).cast("timestamp_ntz") - F.expr("interval 90 days"))
     rows = near.join(load(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey")).select(F.col("o_orderkey").alias("incident"), F.col("c_mktsegment").alias("segment"))
     return rows.join(rows.groupBy("segment").agg(F.count("*").alias("in_segment")), "segment").select("incident", "segment", "in_segment")
 

@@ -73,8 +73,7 @@ SELECT province, n, len(list_filter(b, lambda x: x <= n)) - 1 AS class, array_to
 def class_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Map classes of provinces by their counts (A-29)."""
     counts = load(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("province")).agg(F.count_if(F.col("c_acctbal") > 7000).alias("n"))
-    most = counts.agg(F.max("n").alias("m")).withColumn("j", F.lit(1))
-    met = counts.withColumn("j", F.lit(1)).join(most, "j").withColumn("b", desk.class_breaks(F.col("m")))
+    met = counts.withColumn("b", desk.class_breaks(F.lit(counts.agg(F.max("n")).first()[0])))
     return met.select("province", "n", desk.class_index(F.col("n"), F.col("b")).alias("class"), F.array_join(F.sort_array("b"), ",").alias("breaks"))
 
 

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from casebook.operators import ordering
 from casebook.plans.base import load, query
 
 
@@ -100,7 +101,8 @@ SELECT count(*) AS n, round(median(epoch(c) - epoch(b)) / 3600, 4) AS median_hou
 def median_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median and mean of the time between a group's first and last event (A-21, W-02)."""
     ends = load(spark, sf_dir, "events").withColumn("s", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).groupBy("user_id").agg((F.max("s") - F.min("s")).alias("gap"))
-    return ends.agg(F.count("*").alias("n"), F.round(F.median("gap") / 3600, 4).alias("median_hours"), F.round(F.avg("gap") / 3600, 4).alias("mean_hours"))
+    (middle,) = ordering.medians(ends, [F.col("gap")])
+    return ends.agg(F.count("*").alias("n"), F.round(F.lit(middle).cast("double") / 3600, 4).alias("median_hours"), F.round(F.avg("gap") / 3600, 4).alias("mean_hours"))
 
 
 # -- joins ------------------------------------------------------------------------------------------------------

@@ -202,6 +202,18 @@ def test_alike_pairs_are_all_pairs(spark):
         assert len(found) == len(want) and set(found) == want
 
 
+def test_sets_travel_to_bands_in_reach(spark, monkeypatch):
+    """Same pairs as nested loops for sizes of all magnitudes, and rows of blocks that grow with the sets in reach, not with all blocks."""
+    rng = random.Random(12)
+    monkeypatch.setattr(linkage, "LEAST_BLOCK", 8)
+    sets = [[f"t{rng.randrange(12)}" for _ in range(rng.choice([1, 2, 3, 4, 6, 8, 12]))] for _ in range(120)] + [[f"u{k + i}" for k in range(2**m)] for m in range(7) for i in range(3)]
+    sets = [sorted(set(s)) for s in sets]
+    given = spark.createDataFrame(list(enumerate(sets)), "key long, t array<string>").select("key", F.transform("t", lambda t: F.xxhash64(t)).alias("tokens"))
+    for num, den in ((1, 2), (3, 10), (7, 10), (1, 1)):
+        want = {(j, i) for i in range(len(sets)) for j in range(i) if den * (both := len(set(sets[i]) & set(sets[j]))) >= num * len(set(sets[i]) | set(sets[j])) and both}
+        assert {(r["a"], r["b"]) for r in linkage.alike_pairs(given, num, den, 10).collect()} == want
+
+
 def test_large_families_keep_their_pairs(spark, tmp_path):
     from casebook.plans import domain
 
