@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from casebook.functions.ids import article_uid, canonical_json, content_hash, entity_id, incident_id
 from casebook.functions.storage import materialize
 from casebook.functions.text import clean_html, clean_text, country_of, domain_of, normalize_text, tokenize
-from casebook.operators import assignment, cluster, flows, geo, graph, ledger, linkage, ordering, pairing, relations, relevance, sync, trust, vectors
+from casebook.operators import assignment, cluster, flows, geo, graph, ledger, linkage, ordering, phrases, relations, relevance, sync, trust, vectors
 from casebook.plans.base import load, query
 
 _TOK = r"list_filter(list_distinct(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')), lambda t: length(t) >= 3)"
@@ -409,8 +409,31 @@ def region_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names from a list in headlines and bodies, rolled up by incident (G-02 to G-04); the list is made of the corpus's own middling rare words."""
     rows = articles(spark, sf_dir)
     names = linkage.document_frequency(rows.select(tokenize(F.col("text"), 9).alias("t")), "t").where("df BETWEEN 4 AND 30")
-    places = names.select(F.col("token").alias("name"), F.concat(F.lit("R"), F.length("token") % 5).alias("region"), F.lit(None).cast("string").alias("context"))
+    places = materialize(names.select(F.col("token").alias("name"), F.concat(F.lit("R"), F.length("token") % 5).alias("region"), F.lit(None).cast("string").alias("context")), "places")
     site = rows.select("id", F.col("site").alias("incident"))
-    places = materialize(places, "places")
-    found = lambda text: geo.mentions(rows.select("id", F.col(text).alias("text")), places, 1).join(site, "id")
+    few = places.count() <= phrases.MOST_PHRASES
+    listed = places.select(F.col("name").alias("phrase"), F.col("region").alias("label"))
+
+    def found(text: str) -> DataFrame:
+        own = rows.select("id", F.col(text).alias("text"))
+        # a list of counted size goes to the texts; beyond that, phrases and names meet by a join
+        return (phrases.find(own, listed, "").select("id", F.col("label").alias("region")).distinct() if few else geo.mentions(own, places, 1)).join(site, "id")
+
     return geo.incident_regions(found("title"), found("text"))
+
+
+@query()
+def place_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places in whole texts, by one automaton over names of several words, some of which count only behind certain words (G-01 to G-03).
+
+    The names are the corpus's own: of each reference text two words as a full name, the next as another name of its province; every third is ambiguous."""
+    items = load(spark, sf_dir, "benchmark").select("item_id", F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), 1).alias("w")).where(F.size("w") >= 12)
+    spot = items.select("item_id", "w", F.explode(F.sequence(F.lit(0), F.least(F.size("w") - 4, F.lit(40)), F.lit(4))).alias("i"))
+    province, at = (F.col("item_id") % 7).cast("string"), lambda k: F.get("w", F.col("i") + k)
+    cities = spot.select(province.alias("province"), F.concat_ws("-", "item_id", "i").alias("city"), F.concat_ws(" ", at(0), at(1)).alias("name"))
+    provinces = spot.where("i % 8 = 0").select(province.alias("province"), F.concat_ws(" ", at(1), at(2), at(3)).alias("name"))
+    odd = cities.where("hash(name) % 3 = 0").select("name")
+    common = "the of in and a to de la le el et y der die das und".split()
+    made = geo.place_phrases(provinces, cities, odd).withColumn("before", F.when(F.size("before") > 0, F.array(*map(F.lit, common))).otherwise(F.col("before"))).withColumn("folded", F.lit(True))
+    found = phrases.find(articles(spark, sf_dir).select("id", "text"), made)
+    return found.groupBy("id", F.split_part("label", F.lit("/"), F.lit(1)).alias("province")).agg(F.count("*").alias("n"), F.countDistinct("label").alias("places"))
