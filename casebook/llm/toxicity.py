@@ -1,9 +1,10 @@
 """Toxic spans by a linear-chain conditional random field, and document scores from its marginals.
 
 Fitting takes a bounded sample of labelled documents (SAMPLE).  Words far more frequent in toxic documents than
-in others form a lexicon graded by log-odds; in toxic documents its words are the tokens labelled toxic.  The field has two states; a
-token's emission depends on its own grade and its neighbours', and neighbouring states interact.  Its weights maximize the
-likelihood of labelled windows, with gradients from forward-backward.
+in others form a lexicon graded by log-odds.  The field has two states; a token's emission depends on its own grade and its neighbours', and
+neighbouring states interact.  Only documents are labelled, so which tokens are toxic is hidden: in a window of a harmless document none is; in a window around a
+graded word of a toxic one some is, but for a share of HARMLESS.  The weights maximize the likelihood of that, summed over all token labels that agree with it; what
+the gradient takes for a token's label is its marginal under the weights so far, given that its window has a toxic token.
 
 Scoring runs forward-backward over all tokens of a whole text.  Tokens away from any graded word emit alike, so a stretch of them
 is one power of the transfer matrix: exact, and as cheap as the graded words are few.  The marginals give the offending spans; a
@@ -28,8 +29,8 @@ from casebook.llm.vocab import slices
 SAMPLE = {1: 6000, 0: 14000}
 #: A lexicon word: in at least so many toxic contexts, with so much log-odds against the others and so great a likelihood ratio.
 LEAST_CONTEXTS, LEAST_ODDS, LEAST_GAIN = 3, 1.5, 20.0
-#: Upper ends of the grades 1, 2, ... of log-odds; a token's label is toxic from TOXIC_GRADE on.
-GRADES, TOXIC_GRADE = (2.0, 3.0, 4.0), 3
+#: Upper ends of the grades 1, 2, ... of log-odds; the share of windows in toxic documents that are taken to be harmless.
+GRADES, HARMLESS = (2.0, 3.0, 4.0), 0.3
 #: Windows of tokens for fitting: their reach on both sides of a graded word.
 REACH = 5
 #: Powers of the transfer matrix kept; further ones equal their limit.
@@ -78,9 +79,13 @@ def grade_tokens(texts: pa.Array, lexicon: dict[str, int]):
     return text, number[at] - number[offsets[text]], start, start + sizes[at], grade[codes[at]], np.diff(number[offsets])
 
 
-def fit_field(grades: np.ndarray, labels: np.ndarray, weight: np.ndarray, rounds: int = 300, rate: float = 0.1, decay: float = 1e-3) -> Model:
-    """Weights from weighted windows (rows) of grades and toxic labels, by Adam on the exact log-likelihood."""
+def fit_field(grades: np.ndarray, toxic_doc: np.ndarray, weight: np.ndarray, rounds: int = 300, rate: float = 0.1, decay: float = 1e-3, harmless: float = HARMLESS) -> Model:
+    """Weights from weighted windows (rows) of grades, by Adam on the exact log-likelihood.
+
+    toxic_doc: whether a window is of a toxic document, where token labels are hidden but not all harmless (with a chance of 1 - harmless), or of another, where all are."""
     model = Model()
+    model.own[:] = np.arange(len(model.own)) - 2.5  # higher grades start as likelier
+    hidden = np.asarray(toxic_doc, bool)
     n, length = grades.shape
     all_ = weight.sum()
     k = len(model.own)
@@ -89,8 +94,6 @@ def fit_field(grades: np.ndarray, labels: np.ndarray, weight: np.ndarray, rounds
     var = {x: np.zeros_like(getattr(model, x)) for x in names}
     left, right = np.zeros_like(grades), np.zeros_like(grades)
     left[:, 1:], right[:, :-1] = grades[:, :-1], grades[:, 1:]
-    seen = np.zeros((2, 2))
-    np.add.at(seen, (labels[:, :-1].ravel(), labels[:, 1:].ravel()), np.repeat(weight, length - 1))
     for turn in range(1, rounds + 1):
         emit = np.stack([np.zeros((n, length)), model.emissions(grades)], -1)
         forward = np.empty((n, length, 2))
@@ -103,11 +106,17 @@ def fit_field(grades: np.ndarray, labels: np.ndarray, weight: np.ndarray, rounds
             back[:, t] = np.logaddexp(nxt[:, :1] + model.move[:, 0], nxt[:, 1:] + model.move[:, 1])
         total = np.logaddexp(forward[:, -1, 0], forward[:, -1, 1])
         toxic = np.exp(forward[..., 1] + back[..., 1] - total[:, None])
-        miss = (labels - toxic) * weight[:, None]
+        none = np.minimum(np.exp((length - 1) * model.move[0, 0] - total), 1 - 1e-9)  # that no token is toxic
+        some = np.where(hidden, (1 - harmless) * (1 - none) / ((1 - harmless) * (1 - none) + harmless * none), 0.0)
+        given = some / (1 - none)  # what a marginal grows by if some token is toxic, times how sure that is
+        miss = (given - 1)[:, None] * toxic * weight[:, None]
         grad = {x: np.bincount(g.ravel(), miss.ravel(), k) / all_ for x, g in (("own", grades), ("before", left), ("after", right))}
         pair = np.exp(forward[:, :-1, :, None] + model.move + (emit + back)[:, 1:, None, :] - total[:, None, None, None])
-        pair = (pair * weight[:, None, None, None]).sum((0, 1))
-        grad["move"] = (seen - pair) / all_
+        pair = pair.sum(1)
+        still = np.zeros((2, 2))
+        still[0, 0] = length - 1
+        want = given[:, None, None] * (pair - none[:, None, None] * still) + (1 - some)[:, None, None] * still
+        grad["move"] = ((want - pair) * weight[:, None, None]).sum(0) / all_
         for x in names:
             g = grad[x] - decay * getattr(model, x)
             mean[x] = 0.9 * mean[x] + 0.1 * g
@@ -248,7 +257,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         kinds = found.groupBy("grades", "toxic").count().orderBy("toxic", "grades").collect()  # kinds of windows in the sample
         grades = np.array([r["grades"] for r in kinds], np.int64)
         toxic = np.array([r["toxic"] for r in kinds], np.int64)
-        model = fit_field(grades, ((grades >= TOXIC_GRADE) & (toxic[:, None] == 1)).astype(np.int64), np.sqrt([r["count"] for r in kinds]))
+        model = fit_field(grades, toxic == 1, np.sqrt([r["count"] for r in kinds]))
         model.lexicon = lexicon
 
         def features(batches):
@@ -319,4 +328,5 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     0 and 1 are ignored, and of repeated ones the greater counts; other columns don't matter.  An empty table gives an empty table."""
     docs = table(spark, sf_dir, "documents")
     found = score(docs, fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic")))
-    return found.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), F.size("spans").alias("n_spans"))
+    return found.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), F.size("spans").alias("n_spans"),
+                        F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ",").alias("spans"))

@@ -3,10 +3,11 @@
 import random
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from casebook.llm import chat, common, jaccard_join, quality, secrets, token_files
+from casebook.llm import chat, common, jaccard_join, quality, secrets, token_files, toxicity
 
 
 def prose(rng, n):
@@ -102,3 +103,34 @@ def test_hot_shingles_meet_in_pieces(spark, monkeypatch):
     whole = {(r["gid"], r["node"]) for r in jaccard_join.shared_prefixes(docs, level, 4, 4).collect()}
     sets = lambda pairs: {frozenset(n for g, n in pairs if g == gid) for gid, _ in pairs}
     assert {x for x in sets(split) if len(x) > 1} == sets(whole) and level.max() > 16
+
+
+def test_hidden_labels_spare_a_word_in_a_harmless_context():
+    # grade 3 stands alone in harmless documents and as often beside grade 4 in toxic ones; no token has a label
+    rng = np.random.default_rng(7)
+    rows, toxic = [], []
+    for i in range(400):
+        row = np.zeros(11, np.int64)
+        row[5] = 3
+        if i % 2:
+            row[4 + 2 * rng.integers(2)] = 4
+        rows.append(row)
+        toxic.append(i % 2)
+        rows.append(np.zeros(11, np.int64))
+        toxic.append(0)
+    model = toxicity.fit_field(np.array(rows), np.array(toxic), np.ones(len(rows)))
+    scorer = toxicity.Scorer(model)
+    spots, alone = scorer.marginals(np.array([10]), np.array([3]), 30)
+    _, both = scorer.marginals(np.array([10, 11]), np.array([4, 3]), 30)
+    assert alone[spots == 10][0] < 0.3 and both.max() > 0.8
+    # labels of documents alone tell which windows are toxic
+    assert model.own[4] > model.own[0] and model.own[3] > model.own[0]
+
+
+def test_toxic_spans_are_returned_as_offsets(spark, sf_dir):
+    rows = toxicity.op9_toxicity(spark, sf_dir).collect()
+    texts = {r["doc_id"]: r["text"] for r in common.table(spark, sf_dir, "documents").collect()}
+    assert any(r["spans"] for r in rows)
+    for r in rows:
+        found = [tuple(map(int, x.split(":"))) for x in r["spans"].split(",") if x]
+        assert len(found) == r["n_spans"] and all(0 <= a < b <= len(texts[r["doc_id"]]) for a, b in found)
