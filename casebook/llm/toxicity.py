@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casebook.llm.common import table
+from casebook.llm.common import release, table
 from casebook.llm.vocab import slices
 
 #: At most so many labelled documents of each class are fitted on, the first by a hash of doc_id.  Lexicon and windows come from these and have no bound of their own.
@@ -252,6 +252,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
                         grid[k[near], gap[near] + REACH] = grade[k[near] + shift]
                     label = np.concatenate([toxic[text], np.zeros(len(n), np.int64)])  # the last rows: a plain window a text
                     yield pa.RecordBatch.from_arrays([pa.array(list(grid)), pa.array(label.astype(np.int64))], names=["grades", "toxic"])
+            release()
 
         found = sample.select("text", F.col("toxic").cast("long").alias("toxic")).mapInArrow(windows, "grades array<long>, toxic long")
         kinds = found.groupBy("grades", "toxic").count().orderBy("toxic", "grades").collect()  # kinds of windows in the sample
@@ -266,6 +267,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
                 for at, texts in slices(batch.column(0)):
                     most, total, _ = scorer.texts(texts)
                     yield pa.RecordBatch.from_arrays([pa.array(most), pa.array(total), batch.column(1).slice(at, len(texts))], names=["most", "total", "toxic"])
+            release()
 
         rows = sample.select("text", F.col("toxic").cast("long").alias("toxic")).mapInArrow(features, "most double, total double, toxic long").collect()  # SAMPLE rows at most
         own = class_weights(labels)
@@ -301,6 +303,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 most, total, spans = scorer.texts(texts)
                 rows = [[{"start": s, "end": e, "marginal": p} for s, e, p in x] for x in spans]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(scorer.score(most, total)), pa.array(rows, kind)], names=["doc_id", "score", "spans"])
+        release()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double, spans array<struct<start:int,end:int,marginal:double>>")
 
@@ -317,6 +320,7 @@ def keep_clean(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
             for first, texts in slices(batch.column(at)):
                 most, total, _ = scorer.texts(texts)
                 yield batch.slice(first, len(texts)).filter(pa.array(scorer.score(most, total) < limit))
+        release()
 
     return docs.mapInArrow(run, docs.schema)
 
