@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from casebook.functions.ids import article_uid, canonical_json, content_hash, entity_id, incident_id
 from casebook.functions.storage import materialize
 from casebook.functions.text import clean_html, clean_text, country_of, domain_of, normalize_text, tokenize
-from casebook.operators import assignment, cluster, flows, geo, graph, ledger, linkage, ordering, phrases, relations, relevance, sync, trust, vectors
+from casebook.operators import assignment, cluster, flows, geo, graph, ledger, linkage, ordering, phrases, relations, relevance, sync, trust, vector_index, vectors
 from casebook.plans.base import load, query
 
 _TOK = r"list_filter(list_distinct(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')), lambda t: length(t) >= 3)"
@@ -264,6 +264,13 @@ def knn_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.select("id", "other", F.round("similarity", 4).alias("similarity"), "gap", vectors.same_event(F.col("similarity"), F.col("gap"), F.col("la"), F.col("lb")).alias("same_event"))
 
 
+@query()
+def knn_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of all vectors to every twentieth one, through an index of cells (J-18, R-02)."""
+    rows = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    return vector_index.search(rows.where("id % 20 = 0"), rows, vector_index.fit(rows)).withColumn("similarity", F.round("similarity", 6))
+
+
 @query("""WITH m AS (SELECT l_orderkey AS i, l_suppkey % 30 AS source, l_returnflag = 'R' AS fetched, CASE WHEN l_linenumber % 5 = 0 THEN 0.0 WHEN l_partkey % 3 = 0 THEN 0.9 ELSE 0.7 END AS claim, CASE WHEN l_linenumber % 2 = 1 THEN round(1 - l_discount * 4.731, 5) END AS ind FROM lineitem),
 s AS (SELECT i, count(*) AS docs, count(DISTINCT source) AS domains, avg(fetched::INT) AS content, max(claim) AS claim, avg(ind) AS ind FROM m GROUP BY i),
 t AS (SELECT i, 0.3 * least(1.0, greatest(0.0, (domains - 1) / 4)) + 0.3 * CASE WHEN docs >= 2 THEN CASE WHEN ind IS NULL THEN 0.0 ELSE least(1.0, greatest(0.0, ind)) END ELSE 0.35 END + 0.2 * claim + 0.1 * content + 0.1 * ((o_custkey % 5) / 5.3) AS score FROM s JOIN orders ON o_orderkey = i)
