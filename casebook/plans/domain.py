@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casebook.functions.ids import article_uid, canonical_json, content_hash, entity_id, incident_id
 from casebook.functions.storage import materialize
 from casebook.functions.text import clean_html, clean_text, country_of, domain_of, normalize_text, tokenize
-from casebook.operators import assignment, cluster, flows, geo, graph, ledger, linkage, ordering, phrases, relations, relevance, sync, trust, vector_index, vectors
+from casebook.operators import assignment, cluster, extract, flows, geo, graph, ledger, linkage, ordering, phrases, relations, relevance, sync, trust, vector_index, vectors
 from casebook.plans.base import load, query
 
 _TOK = r"list_filter(list_distinct(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')), lambda t: length(t) >= 3)"
@@ -32,9 +32,14 @@ def _cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("*", F.xxhash64("clean").alias("text_key"), F.filter(F.array_distinct(F.split("clean", " ")), lambda t: F.length(t) > 2).alias("tokens"))
 
 
+def _families() -> Column:
+    """Families of an article's kinds (C-08): the corpus's own two kinds stand for kinds of attack."""
+    return cluster.families(F.concat_ws(",", "kinds"), {"license": "TERMS", "long": "BULK"})
+
+
 def _relations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(members, relations): documents with their incidents by the sequential rule, and the relations of all pairs inside an incident."""
-    rows = assignment.assigned(_fields(spark, sf_dir))
+    rows = assignment.assigned(_fields(spark, sf_dir), _families())
     members = _cleaned(spark, sf_dir).join(rows.select("id", "incident"), "id")
     return members, materialize(relations.relations(members), "relations")
 
@@ -62,14 +67,14 @@ def evidence_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def incident_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The incident that each document joins or opens, in order of id, and its score (C-02 to C-08, C-10, J-14)."""
-    return assignment.assigned(_fields(spark, sf_dir)).select("id", "incident", F.round("score", 6).alias("score"))
+    return assignment.assigned(_fields(spark, sf_dir), _families()).select("id", "incident", F.round("score", 6).alias("score"))
 
 
 @query()
 def incident_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Incidents with the first known value of each field, days, documents and confidence (C-06, C-10)."""
     rows = _fields(spark, sf_dir)
-    return assignment.incident_table(rows, assignment.assigned(rows)).withColumn("confidence", F.round("confidence", 6))
+    return assignment.incident_table(rows, assignment.assigned(rows, _families())).withColumn("confidence", F.round("confidence", 6))
 
 
 @query(rf"SELECT k AS token, count(*) AS df FROM (SELECT unnest({_TOK.format('text')}) AS k FROM documents) GROUP BY k")
@@ -118,6 +123,24 @@ def keyword_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return articles(spark, sf_dir).select("id", r.alias("r")).select("id", "r.label", "r.score", "r.confidence")
 
 
+#: Dictionaries of words of the corpus, by what they tell of a text.
+EXTRACTORS = {"method": {"credential": ["password", "secret", "token"], "terms": ["license", "licensed"]}, "sector": {"software": ["version", "software"], "print": ["edition"]}, "impact": {"harm": ["moron", "idiot", "scum"]}}
+
+
+def _found(col: str, dictionary: dict) -> str:
+    hits = ", ".join("CASE WHEN " + " OR ".join(f"regexp_matches({col}, '{relevance.find_keywords.__globals__['keyword_pattern'](w)}')" for w in words) + f" THEN '{name}' END" for name, words in dictionary.items())
+    return f"coalesce(nullif(array_to_string(list_filter([{hits}], lambda x: x IS NOT NULL), ', '), ''), 'UNKNOWN')"
+
+
+@query(rf"""WITH n AS (SELECT doc_id AS id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS t FROM documents), c AS (SELECT id, {", ".join(f"{_found('t', d)} AS {k}" for k, d in EXTRACTORS.items())} FROM n)
+SELECT *, round(({" + ".join(f"({k} <> 'UNKNOWN')::INT" for k in EXTRACTORS)}) / {len(EXTRACTORS)}, 6) AS known FROM c""")
+def document_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Method, sector and impact of every whole text by dictionary, and the share that is known (T-04, T-08)."""
+    rows = articles(spark, sf_dir).select("id", normalize_text(F.col("text")).alias("t"))
+    found = rows.select("id", *[relevance.categories(F.col("t"), d).alias(k) for k, d in EXTRACTORS.items()])
+    return found.withColumn("known", F.round(extract.extraction_confidence(*[F.col(k) for k in EXTRACTORS]), 6))
+
+
 @query(r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents), b AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark),
 dp AS (SELECT DISTINCT doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w)),
 bp AS (SELECT DISTINCT item_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4] AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM b)),
