@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,9 @@ from casebook.llm.common import bucket_of, range_buckets, table, text_ranges
 from casebook.llm.vocab import slices
 
 K, WORDS = 128, 5
+#: Bytes of a text that are sketched in one go.
+PART_BYTES = 1 << 15
+_SPACES, _GAP = b" \t\n\v\f\r", re.compile(rb"[\x20\x09-\x0D]")
 #: Fixed odd multipliers of the hash.
 BASE, MIX1, MIX2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 _M = (1 << 64) - 1
@@ -77,8 +81,46 @@ def shingle_hashes(raw: np.ndarray, begin: np.ndarray, words: int = WORDS) -> tu
     return out, np.append(starts, len(out))
 
 
+def parts_of(text: bytes, words: int = WORDS, size: int | None = None) -> list[bytes]:
+    """A text's parts of about `size` bytes (PART_BYTES), cut between words, each beginning with the last words - 1 words of the one before: every shingle of the
+    text stands in one of them, and no other does."""
+    size = size or PART_BYTES
+    if len(text) <= size:
+        return [text]
+    out, lead, at = [], b"", 0
+    while at < len(text):
+        end = at
+        while True:  # a part has `words` words at least
+            gap = _GAP.search(text, min(end + size, len(text)))
+            end = gap.start() if gap else len(text)
+            part = lead + text[at:end]
+            if end == len(text) or len(part.split(None, words)) >= words:
+                break
+        rest = text[end:]
+        if not rest.strip(_SPACES):
+            out.append(part + rest)
+            break
+        out.append(part)
+        lead, at = b" ".join(part.rsplit(None, words - 1)[-(words - 1) :]) if words > 1 else b"", end
+    return out
+
+
 def sketch_arrays(texts: list[bytes], k: int = K, words: int = WORDS) -> list[np.ndarray]:
-    """The sketch of each text: ascending hashes."""
+    """The sketch of each text: ascending hashes.  A text of more than PART_BYTES is sketched part by part, and the parts' sketches are merged."""
+    out: list[np.ndarray | None] = [None] * len(texts)
+    short = [i for i, t in enumerate(texts) if len(t) <= PART_BYTES]
+    for i, own in zip(short, _whole_sketches([texts[i] for i in short], k, words)):
+        out[i] = own
+    for i, found in enumerate(out):
+        if found is None:
+            whole = np.empty(0, np.uint64)
+            for part in parts_of(texts[i], words):
+                whole = merge(whole, _whole_sketches([part], k, words)[0], k)
+            out[i] = whole
+    return out
+
+
+def _whole_sketches(texts: list[bytes], k: int, words: int) -> list[np.ndarray]:
     begin = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
     hashes, cuts = shingle_hashes(np.frombuffer(b"".join(texts), np.uint8), begin, words)
     out = []

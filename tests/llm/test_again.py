@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from casebook.llm import chat, common, jaccard_join, quality, secrets, token_files, toxicity
+from casebook.llm import chat, common, fingerprints, jaccard_join, quality, secrets, token_files, toxicity
 
 
 def prose(rng, n):
@@ -134,3 +134,16 @@ def test_toxic_spans_are_returned_as_offsets(spark, sf_dir):
     for r in rows:
         found = [tuple(map(int, x.split(":"))) for x in r["spans"].split(",") if x]
         assert len(found) == r["n_spans"] and all(0 <= a < b <= len(texts[r["doc_id"]]) for a, b in found)
+
+
+def test_sketches_of_parts_are_the_sketch_of_the_whole(monkeypatch):
+    rng = random.Random(8)
+    texts = []
+    for _ in range(200):
+        words = [rng.choice("abcdef") * rng.choice([1, 2, 3, 40]) for _ in range(rng.randint(0, 60))]
+        texts.append("".join(w + rng.choice([" ", "\n", "  \t", " \r\n "]) for w in words).encode() + rng.choice([b"", b"    ", b"end"]))
+    whole = fingerprints.sketch_arrays(texts)
+    for size in (1, 7, 30, 100):
+        monkeypatch.setattr(fingerprints, "PART_BYTES", size)
+        assert all((a == b).all() if len(a) == len(b) else False for a, b in zip(fingerprints.sketch_arrays(texts), whole))
+        assert max(len(fingerprints.parts_of(t)) for t in texts) > 2
