@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from casebook.llm.common import free_names, materialize, shuffle_partitions, table
+from casebook.llm.common import free_names, materialize, release, shuffle_partitions, table
 from casebook.llm.vocab import byte_encoder, slices
 
 CAPACITY = 2048
@@ -119,6 +119,7 @@ def token_pieces(docs: DataFrame, path: str, ranks: str, pattern: str, capacity:
                 if with_ids:
                     columns.append(pa.ListArray.from_arrays(pa.array(np.append(lo, len(ids)).astype(np.int32)), pa.array(ids.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
+        release()
 
     ddl = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, ddl)
