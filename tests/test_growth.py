@@ -2,7 +2,10 @@
 
 import random
 
+import duckdb
+
 from casebook.operators import linkage
+from casebook.plans import registry
 
 
 def _score(a, b):
@@ -45,3 +48,14 @@ def test_names_on_both_sides_of_the_short_limit(spark):
     found = {frozenset((r.a_norm, r.b_norm)) for r in linkage.fuzzy_pairs(classes, carried=("norm",)).collect()}
     assert found == {frozenset((a, b)) for i, a in enumerate(names) for b in names[:i] if _score(a, b) >= 0.85}
     assert any(len({len(n.split()) > linkage.SHORT for n in pair}) == 2 for pair in found)
+
+
+def test_page_titles_and_their_sql_decode_the_same(spark, tmp_path):
+    titles = ["say &quot;a&quot; &#39;b&#39; &apos;c&apos; &amp;quot;", "a\u00a0\u2003b\x0bc &nbsp; d", "x &lt;b&gt;y&lt;/b&gt; &amp;lt;", "", None]
+    rows = [(i, "http://a.org/x", None if t is None else f"<title>{t}</title>") for i, t in enumerate(titles)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    found = sorted(map(tuple, registry.QUERIES["page_titles"](spark, str(tmp_path)).collect()))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert found == sorted(con.execute(registry.ORACLES["page_titles"]).fetchall())
+    assert [r[1] for r in found] == ["say \"a\" 'b' 'c' &quot;", "a b c d", "x y &lt;", "", ""]
