@@ -34,8 +34,11 @@ def phrases(text: Column, longest: int = 3) -> Column:
 def mentions(texts: DataFrame, places: DataFrame, longest: int = 3) -> DataFrame:
     """(id, text) to (id, name, region) of the names found; a name with a context word counts only where that word stands too (G-02, G-03, J-16)."""
     # a list of counted size goes to the texts; beyond that, phrases and names meet by shuffle
-    near = F.broadcast(places) if places.count() <= BROADCAST_NAMES else places
-    found = texts.select("id", F.explode(phrases(F.col("text"), longest)).alias("name")).join(near, "name")
+    count, least, most = places.agg(F.count("*"), F.min(F.length("name")), F.max(F.length("name"))).first()
+    near = F.broadcast(places) if count <= BROADCAST_NAMES else places
+    # phrases shorter or longer than any name don't travel
+    met = F.filter(phrases(F.col("text"), longest), lambda p: F.length(p).between(least or 0, most or 0))
+    found = texts.select("id", F.explode(met).alias("name")).join(near, "name")
     needs = found.where("context IS NOT NULL").join(texts.select("id", phrases(F.col("text"), 1).alias("w")), "id").where(F.array_contains("w", F.lower("context"))).select("id", "name", "region")
     return found.where("context IS NULL").select("id", "name", "region").union(needs).distinct()
 

@@ -14,8 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Phrases that one automaton may hold: some 100 MB in a worker.  A longer list meets texts by a join of phrases (geo.mentions).
-MOST_PHRASES = 500_000
+#: Phrases that one automaton may hold, and a list that is worth one: an automaton takes some 650 bytes a phrase in each worker, twice that while the next task builds its
+#: own.  A longer list, or one that grows with the texts, meets them by a join of phrases (geo.mentions).
+MOST_PHRASES, LISTED = 500_000, 50_000
 
 
 class Phrase(NamedTuple):

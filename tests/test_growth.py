@@ -4,7 +4,7 @@ import random
 
 import duckdb
 
-from casebook.operators import linkage
+from casebook.operators import linkage, phrases
 from casebook.plans import registry
 
 
@@ -59,3 +59,10 @@ def test_page_titles_and_their_sql_decode_the_same(spark, tmp_path):
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
     assert found == sorted(con.execute(registry.ORACLES["page_titles"]).fetchall())
     assert [r[1] for r in found] == ["say \"a\" 'b' 'c' &quot;", "a b c d", "x y &lt;", "", ""]
+
+
+def test_a_long_list_of_regions_goes_by_a_join(spark, sf_dir, monkeypatch):
+    want = sorted(map(tuple, registry.QUERIES["region_rollup"](spark, sf_dir).collect()))
+    monkeypatch.setattr(phrases, "LISTED", 5)
+    monkeypatch.setattr(phrases, "find", lambda *a, **k: (_ for _ in ()).throw(AssertionError("an automaton of a long list")))
+    assert want and sorted(map(tuple, registry.QUERIES["region_rollup"](spark, sf_dir).collect())) == want
