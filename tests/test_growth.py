@@ -3,8 +3,9 @@
 import random
 
 import duckdb
+from pyspark.sql import functions as F
 
-from casebook.operators import linkage, phrases
+from casebook.operators import linkage, phrases, vectors
 from casebook.plans import registry
 
 
@@ -66,3 +67,10 @@ def test_a_long_list_of_regions_goes_by_a_join(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(phrases, "LISTED", 5)
     monkeypatch.setattr(phrases, "find", lambda *a, **k: (_ for _ in ()).throw(AssertionError("an automaton of a long list")))
     assert want and sorted(map(tuple, registry.QUERIES["region_rollup"](spark, sf_dir).collect())) == want
+
+
+def test_vectors_travel_once_for_each_large_block(spark):
+    rows = spark.range(6000).select("id", F.array(F.lit(1.0), F.col("id") % 7 + 0.5).alias("vec"), (F.col("id") % 60).alias("day"))
+    assert vectors.spread(rows).count() == 2 * 6000
+    some = rows.where("id < 600")
+    assert sorted(map(tuple, vectors.neighbours(some, block=50).select("id", "other", "gap").collect())) == sorted(map(tuple, vectors.neighbours(some).select("id", "other", "gap").collect()))
