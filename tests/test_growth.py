@@ -74,3 +74,8 @@ def test_vectors_travel_once_for_each_large_block(spark):
     assert vectors.spread(rows).count() == 2 * 6000
     some = rows.where("id < 600")
     assert sorted(map(tuple, vectors.neighbours(some, block=50).select("id", "other", "gap").collect())) == sorted(map(tuple, vectors.neighbours(some).select("id", "other", "gap").collect()))
+
+
+def test_trust_counts_sources_in_one_row_an_incident(spark, sf_dir):
+    plan = registry.QUERIES["trust_score"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "distinct" not in plan.lower()
