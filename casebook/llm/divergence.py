@@ -26,7 +26,7 @@ from casebook.llm.vocab import gather, slices
 
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 #: Bytes of text a block and a destination; sources a block of a cell, terms a share of one; documents that a kept term is in; ranks of terms that are returned.
-BLOCK_BYTES, DEST_BYTES, SOURCES, TERMS, LEAST_DOCS, TOP = 32_000_000, 64_000_000, 64, 8192, 10, 10
+BLOCK_BYTES, DEST_BYTES, SOURCES, TERMS, LEAST_DOCS, TOP = 16_000_000, 64_000_000, 64, 8192, 10, 10
 #: Sums that a destination holds before it adds up equal ones.
 HELD = 4_000_000
 SCALE = 1_000_000_000

@@ -79,3 +79,10 @@ def test_vectors_travel_once_for_each_large_block(spark):
 def test_trust_counts_sources_in_one_row_an_incident(spark, sf_dir):
     plan = registry.QUERIES["trust_score"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "distinct" not in plan.lower()
+
+
+def test_a_divergence_block_holds_sixteen_megabytes_of_text(spark):
+    from casebook.llm import divergence
+
+    docs = spark.range(3, numPartitions=1).select(F.repeat(F.lit("word other "), 900_000).alias("text"), F.lit("en").alias("lang"), F.lit("a").alias("source"))
+    assert divergence.chunk_blocks(docs, 2).where("kind = 0").count() == 3
