@@ -86,3 +86,52 @@ def test_a_divergence_block_holds_sixteen_megabytes_of_text(spark):
 
     docs = spark.range(3, numPartitions=1).select(F.repeat(F.lit("word other "), 900_000).alias("text"), F.lit("en").alias("lang"), F.lit("a").alias("source"))
     assert divergence.chunk_blocks(docs, 2).where("kind = 0").count() == 3
+
+
+def test_the_all_pairs_search_goes_in_passes_of_bounded_size(spark, monkeypatch):
+    rng = random.Random(8)
+    monkeypatch.setattr(linkage, "LEAST_BLOCK", 8)
+    monkeypatch.setattr(linkage, "LEAST_PASS", 1)
+    sets = [sorted({rng.randrange(14) for _ in range(rng.choice([2, 3, 5, 8]))}) for _ in range(90)]
+    days = [rng.choice([None, *range(60)]) for _ in sets]
+    given = spark.createDataFrame([(k, s, d) for k, (s, d) in enumerate(zip(sets, days))], "key long, t array<long>, day long").select("key", F.transform("t", lambda t: F.xxhash64(t)).alias("tokens"), "day")
+    alike = lambda i, j: len({*sets[i]} & {*sets[j]}) * 2 >= len({*sets[i]} | {*sets[j]})
+    near = lambda i, j: None in (days[i], days[j]) or abs(days[i] - days[j]) <= 14
+    ends = lambda df: {(r["a"], r["b"]) for r in df.collect()}
+    want = {(j, i) for i in range(90) for j in range(i) if alike(i, j)}
+    assert ends(linkage.alike_pairs(given, 1, 2, 10)) == want
+    assert ends(linkage.alike_pairs(given, 1, 2, 10, days=14)) == {p for p in want if near(*p)} < want
+
+    def parts(pairs):
+        root = list(range(90))
+        for a, b in sorted(pairs):
+            x, y = root[a], root[b]
+            root = [min(x, y) if r in (x, y) else r for r in root]
+        return root
+
+    spanning = ends(linkage.alike_pairs(given, 1, 2, 1000, spanning=True))
+    assert spanning < want and parts(spanning) == parts(want)
+    blocks = [(None, 4, 4, 100)] * 40
+    passes = linkage.block_passes(blocks, 1, 2)
+    assert sorted(c for p in passes for c in p) == [(i, j) for i in range(40) for j in range(i, 40)]
+    assert max(sum(100 * len({*c}) for c in p) for p in passes) <= 1.5 * 4000
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    import glob
+    import os
+    import time
+
+    from casebook.functions.storage import materialize
+
+    top = os.environ.get("SPARK_LOCAL_DIRS") or spark.conf.get("spark.local.dir", "/tmp")
+    count = lambda: {p for p in glob.glob(f"{top}/blockmgr-*/*/shuffle_*.data") + glob.glob(f"{top}/*/blockmgr-*/*/shuffle_*.data")}
+    before = count()
+    made = materialize(spark.range(10_000).groupBy(F.col("id") % 100).count(), "sums")
+    for _ in range(20):
+        if not count() - before:
+            break
+        time.sleep(0.25)
+    assert not count() - before and made.count() == 100
+    spark.range(10_000).groupBy(F.col("id") % 100).count().collect()
+    assert count() - before
