@@ -48,5 +48,5 @@ def stream_incident_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Open incidents of each kind of event with the tokens of their members, and what became of them (G-S5, G-S6)."""
     words = F.array_distinct(F.concat(F.array("event_type"), F.regexp_extract_all("props", F.lit("([0-9a-z]+)"), 1), F.array(F.concat(F.lit("v"), F.floor(F.col("value") / 20).cast("string")))))
     rows = streams.incident_states(_events(spark, sf_dir).withColumn("words", words), "user_id", "ts", "words", "event_type", 1)
-    kept = streams.run_to_table(rows, "states")
+    kept = streams.run_to_table(rows, "states", closing=False)
     return kept.groupBy("user_id", "first", "field").agg(F.max("n").alias("n"), F.max("last").alias("last"), F.max("tokens").alias("tokens"))

@@ -80,3 +80,17 @@ def test_states_join_alike_articles_and_expire(spark, rows, tmp_path):
         final[key, first] = max((n, end, tokens, field or ""), final.get((key, first), (0, 0.0, 0, "")))
     assert final == {(k, o["first"]): (o["n"], o["last"], len(o["tokens"]), o["field"] or "") for k, os_ in want.items() for o in os_}
     assert max(state) < 25 and state[-1] < 12
+
+
+def test_states_of_one_run_need_no_closing_batch(spark, rows, tmp_path, monkeypatch):
+    write(str(tmp_path / "in"), rows, 6)
+    made = []
+    monkeypatch.setattr(streams, "fresh_path", lambda s, name: made.append(fresh_path(s, name)) or made[-1])
+
+    def states(closing):
+        stream = streams.read_events(spark, str(tmp_path / "in") + "/", spark.read.parquet(str(tmp_path / "in")).schema, 3)
+        found = streams.run_to_table(streams.incident_states(stream, "key", "ts", "words", "field", 4), "states", closing=closing)
+        return sorted(map(tuple, found.collect()), key=repr), spark.read.text(f"{made[-1]}/commits/*").inputFiles()
+
+    (plain, batches), (short, fewer) = states(True), states(False)
+    assert plain == short and len(fewer) == 2 < len(batches)
