@@ -3,6 +3,9 @@
 Each stage takes (spark, docs, sf_dir), works on all that the stage before it kept, and returns the columns of documents; the last one
 returns the packed pieces.  run() writes each result as Parquet to shared storage and reads it again, so that a stage never
 recomputes an earlier one.
+
+The stages share one session, whose executors and Python workers keep much of what the largest batch of texts took.  So the stages that use Python bound
+their batches to BATCH_BYTES, for the session: the last step of a stage runs only when the caller writes it.
 """
 
 from __future__ import annotations
@@ -12,6 +15,9 @@ from pyspark.sql import functions as F
 
 from casebook.llm import common, jaccard_join, packing, quality, secrets, toxicity
 
+#: Bytes of rows that a Python worker gets at once; a longer row goes alone.
+BATCH_BYTES = 1_000_000
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules and their host's verdict keep.
@@ -26,6 +32,7 @@ def toxic_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Labels are known but for held-out ids.  Without labelled documents of both classes all score alike and stay.  A null or empty text has the lowest score and stays;
     repeated rows stay or go together; other columns stay as they are; an empty table stays empty.  A text of any length is scored whole."""
+    common.bound_batches(spark, BATCH_BYTES)
     return toxicity.keep_clean(docs, toxicity.fit(docs, common.table(spark, sf_dir, "labels").select("doc_id", "toxic")))
 
 
@@ -34,6 +41,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Of rows that share a doc_id and a text one stays; rows without a doc_id, and texts without words, are alike with nothing and stay; other columns stay as they are;
     an empty table stays empty."""
+    common.bound_batches(spark, BATCH_BYTES)
     return jaccard_join.keep_heads(docs)
 
 
@@ -48,6 +56,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Pieces of all documents, packed into sequences: op1's rows.
 
     A null or empty text is a piece of the end id alone; repeated rows are packed one by one; a null doc_id stays null; an empty table gives none."""
+    common.bound_batches(spark, BATCH_BYTES)
     return packing.pack_documents(docs)
 
 

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -510,3 +511,25 @@ def test_pipeline_stages(spark, sf_dir):
     packed = corpus_pipeline.run(spark, sf_dir)
     assert packed.count() > 0 and "sequence_id" in packed.columns
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality rules", "toxicity", "n-gram Jaccard join", "secret scans", "best-fit packing"]
+
+
+def test_pipeline_bounds_what_a_worker_gets_at_once(spark, tmp_path, edge):
+    """After each stage with Python the session's batches are small, whoever writes the stage's result; a smaller bound stays, and batches change no row."""
+    import corpus_pipeline
+
+    key, sf = "spark.sql.execution.arrow.maxBytesPerBatch", str(tmp_path)
+    spark.createDataFrame([(1, 0)], "doc_id long, toxic int").write.parquet(sf + "/labels.parquet")
+    texts = spark.range(0, 60, 1, 1).select(F.repeat(F.lit("word "), 20_000).alias("text"))
+    probe = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes]), pa.array([b.num_rows])], names=["bytes", "n"]) for b in batches)
+    found = spark.conf.get(key)
+    try:
+        for name in ("toxicity", "n-gram Jaccard join", "best-fit packing"):
+            stage = dict(corpus_pipeline.STAGES)[name]
+            spark.conf.unset(key)
+            wide = {tuple(map(str, r)) for r in stage(spark, edge, sf).collect()}
+            most, n = texts.mapInArrow(probe, "bytes long, n long").agg(F.max("bytes"), F.sum("n")).first()
+            assert most <= 1.2 * corpus_pipeline.BATCH_BYTES and n == 60, name
+            spark.conf.set(key, "3k")
+            assert {tuple(map(str, r)) for r in stage(spark, edge, sf).collect()} == wide and spark.conf.get(key) == "3k", name
+    finally:
+        spark.conf.set(key, found)
