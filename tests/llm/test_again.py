@@ -105,6 +105,17 @@ def test_hot_shingles_meet_in_pieces(spark, monkeypatch):
     assert {x for x in sets(split) if len(x) > 1} == sets(whole) and level.max() > 16
 
 
+def test_pieces_of_the_most_frequent_shingles_are_one_group(spark):
+    rng = random.Random(16)
+    words = prose(rng, 30).split()
+    docs = spark.createDataFrame([(i, " ".join(words + [prose(rng, 1) for _ in range(i % 9)])) for i in range(60)], "doc_id long, text string")
+    # levels are bytes: above 120 a shingle meets in pieces, from 128 on a doubled level is no byte any more
+    plain, often = (np.full(jaccard_join.CELLS, x, np.uint8) for x in (120, 140))
+    whole, split = ({(r["gid"], r["node"]) for r in jaccard_join.shared_prefixes(docs, level, 4, 4).collect()} for level in (plain, often))
+    sets = lambda pairs: {x for x in (frozenset(n for g, n in pairs if g == gid) for gid, _ in pairs) if len(x) > 1}
+    assert sets(split) == sets(whole) and max(map(len, sets(whole))) > 20
+
+
 def test_hidden_labels_spare_a_word_in_a_harmless_context():
     # grade 3 stands alone in harmless documents and as often beside grade 4 in toxic ones; no token has a label
     rng = np.random.default_rng(7)
